@@ -182,11 +182,30 @@ def candidate_pool(
     )
 
 
-def overlap_score(question: Column, passage: Column) -> Column:
-    """Share of the question's distinct words that occur in the passage."""
-    asked = F.array_distinct(words(question))
-    shared = F.size(F.array_intersect(asked, words(passage)))
-    return shared / F.greatest(F.size(asked), F.lit(1))
+def overlap_rerank(
+    pool: DataFrame, passages: DataFrame, question: str = "search_text", passage: str = "passage",
+    question_id: str = "query_id", passage_id: str = "passage_id",
+) -> DataFrame:
+    """Add ``score``: the share of the question's distinct words that occur in the candidate passage.
+
+    A passage wanted by many questions is cut into words once, then joined to them.
+    """
+    wanted = passages.join(pool.select(passage_id).distinct(), passage_id, "left_semi")
+    has = wanted.select(passage_id, F.explode(F.array_distinct(words(F.col(passage)))).alias("word"))
+    asked = pool.select(question_id, question).distinct().select(
+        question_id, F.array_distinct(words(F.col(question))).alias("asked")
+    )
+    cells = pool.select(question_id, passage_id).join(asked, question_id)
+    hits = (
+        cells.select(question_id, passage_id, F.explode("asked").alias("word"))
+        .join(has, [passage_id, "word"])
+        .groupBy(question_id, passage_id)
+        .agg(F.count("*").alias("__hits"))
+    )
+    sizes = asked.select(question_id, F.greatest(F.size("asked"), F.lit(1)).alias("__asked"))
+    joined = pool.join(hits, [question_id, passage_id], "left").join(sizes, question_id)
+    share = F.coalesce("__hits", F.lit(0)) / F.col("__asked")
+    return joined.withColumn("score", share).drop("__hits", "__asked")
 
 
 def place_slots(

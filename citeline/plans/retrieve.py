@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeline.operators import search
+from citeline.session import settle
 from citeline.operators.vectors import Lane, hash_embedding, vector_topk
 
 Embed = Callable[[DataFrame, str, str], DataFrame]
-Score = Callable[[DataFrame], DataFrame]
+Score = Callable[[DataFrame, DataFrame], DataFrame]  # (pool, passages) -> pool with score
 
 
 @dataclass
@@ -24,15 +25,10 @@ class Retrieval:
     top: DataFrame  # (query_id, top_score)
 
 
-def overlap_reranker(pool: DataFrame) -> DataFrame:
-    """The word-overlap score; a model's reranker takes its place as another function of (search_text, passage)."""
-    return pool.withColumn("score", search.overlap_score(F.col("search_text"), F.col("passage")))
-
-
 def joined_scores(scores: DataFrame) -> Score:
     """A reranker that looks up precomputed (query_id, passage_id, score) rows; absent scores count as 0."""
 
-    def apply(pool: DataFrame) -> DataFrame:
+    def apply(pool: DataFrame, passages: DataFrame) -> DataFrame:
         found = pool.join(scores.select("query_id", "passage_id", "score"), ["query_id", "passage_id"], "left")
         return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
@@ -44,7 +40,7 @@ def retrieve(
     passages: DataFrame,
     fault_codes: DataFrame,
     embed: Embed = hash_embedding,
-    rerank: Score = overlap_reranker,
+    rerank: Score = search.overlap_rerank,
     candidates: int = search.CANDIDATES,
     top_k: int = search.TOP_K,
     fault_candidates: int = search.FAULT_CANDIDATES,
@@ -62,6 +58,8 @@ def retrieve(
     if "code_text" in questions.columns:
         second = search.detect_codes(questions.where("code_text is not null"), index, text="code_text")
         matches = search.append_matches(matches, second)
+    # Every step settled here holds a bounded number of rows per question and feeds several branches.
+    matches = settle(matches, "matches")
     coded = matches.select("query_id").distinct().withColumn("has_code", F.lit(True))
 
     has_scope = "scope" in questions.columns
@@ -81,6 +79,7 @@ def retrieve(
         F.concat_ws(":", "variant", "query_id").alias("search_id"), "query_id", "variant", "scope", "has_code",
         "search_text", (F.col("variant") == F.col("n") - 1).alias("final"),
     )
+    searches = settle(searches, "searches")
 
     terms = search.query_terms(searches, "search_text", "search_id")
     words = search.postings(passages, only=terms, carry=["manual_id"])
@@ -94,7 +93,7 @@ def retrieve(
     lanes = [Lane("vector", candidates), Lane("fault", fault_candidates, kind="fault")]
     vector = vector_topk(
         asked if has_scope else asked.drop("scope"), known, lanes, question_id="search_id",
-        question_count=questions.count() * (2 if "rewrite" in questions.columns else 1),
+        question_count=searches.count(),
     )
     lanes_no = {"keyword": 0, "vector": 1}
     both = keyword.unionByName(vector).join(
@@ -105,7 +104,10 @@ def retrieve(
     lane_no = F.when(F.col("lane") == "fault", F.lit(4))
     for name, n in lanes_no.items():
         lane_no = lane_no.when(F.col("lane") == name, F.col("variant") * 2 + n)
-    rankings = both.withColumn("lane_no", lane_no)
+    rankings = both.select(
+        "query_id", lane_no.alias("lane_no"), "lane", "passage_id", F.col("rank").cast("int").alias("rank")
+    )
+    rankings = settle(rankings, "rankings")
     reserved = rankings.where((F.col("lane") == "fault") & (F.col("rank") <= fault_slots)).select(
         "query_id", "passage_id", F.col("rank").alias("slot")
     )
@@ -114,11 +116,11 @@ def retrieve(
     exact = matches.select("query_id", F.col("chunk_id").alias("passage_id"), "ord", "code")
     pool = search.candidate_pool(fused, exact, reserved, candidates)
     texts = searches.where("final").select("query_id", "search_text")
-    pool = pool.join(
-        passages.select("passage_id", F.concat_ws("\n", "heading", "text").alias("passage")), "passage_id"
-    ).join(texts, "query_id")
-    scored = rerank(pool).drop("passage", "search_text")
+    pool = pool.join(passages.select("passage_id"), "passage_id", "left_semi").join(texts, "query_id")
+    pool = settle(pool, "pool")
+    readable = passages.select("passage_id", F.concat_ws("\n", "heading", "text").alias("passage"))
+    scored = rerank(pool, readable).drop("search_text")
     placed = search.place_slots(scored, slot_position)
     stored = exact.join(passages.select("passage_id"), "passage_id", "left_semi")
-    ranked = search.pin_exact(stored, placed, top_k)
+    ranked = settle(search.pin_exact(stored, placed, top_k), "ranked")
     return Retrieval(matches, searches, ranked, search.top_scores(questions, ranked))

@@ -174,9 +174,10 @@ def overlap_rerank(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("lang").alias("heading"), "text")
     terms = search.query_terms(asked)
     found = search.keyword_topk(terms, search.postings(docs, only=terms), search.CANDIDATES)
-    pool = found.join(docs, "passage_id").join(asked.withColumnRenamed("text", "question"), "query_id")
-    scored = pool.withColumn("overlap", search.overlap_score(F.col("question"), F.concat_ws("\n", "heading", "text")))
-    return scored.select("query_id", F.col("passage_id").alias("doc_id"), F.round("overlap", 9).alias("overlap"))
+    pool = found.drop("score").join(asked.withColumnRenamed("text", "search_text"), "query_id")
+    readable = docs.select("passage_id", F.concat_ws("\n", "heading", "text").alias("passage"))
+    scored = search.overlap_rerank(pool, readable)
+    return scored.select("query_id", F.col("passage_id").alias("doc_id"), F.round("score", 9).alias("overlap"))
 
 
 OVERLAP_SQL = f"""with {KEYWORD_CTES},
@@ -192,7 +193,7 @@ def hybrid_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items, each also naming the code of the document with its number."""
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", code_of(F.col("item_id") + 256)).alias("text"),
-        F.upper(F.col("text")).alias("rewrite"),
+        F.replace(F.col("text"), F.lit("th"), F.lit("st")).alias("rewrite"),
     )
 
 
@@ -215,7 +216,7 @@ def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 HYBRID_SQL = f"""with
 pas as (select doc_id, source as manual_id, case when toxic = 1 then 'fault' else 'section' end as kind, lang, text
   from documents left join labels using (doc_id)),
-qs as (select item_id as query_id, text || ' ' || code as txt, upper(text) as rewrite, code,
+qs as (select item_id as query_id, text || ' ' || code as txt, replace(text, 'th', 'st') as rewrite, code,
     translate(code, '015', 'OIS') as fold
   from (select *, {CODE_SQL.format(k='(item_id + 256)')} as code from benchmark)),
 fc as (select manual_id, doc_id, code, translate(code, '015', 'OIS') as fold
