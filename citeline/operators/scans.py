@@ -3,7 +3,10 @@
 A plain window over ``partitionBy(document)`` sends a document's every line to one task. Here rows are windowed
 inside bounded *blocks* (a page, a thousand lines, a day), each block is reduced to one summary row, the
 summaries alone are windowed per key, and their result is joined back on (key, block). The big side is shuffled
-once, on (key, block); every later step of a chain keeps that partitioning.
+once, on (key, block).
+
+Each scan reads its input in two branches. Chains therefore settle their rows between scans (``session.settle``);
+otherwise the plan would double with every step.
 """
 from __future__ import annotations
 
@@ -22,11 +25,15 @@ def _across(keys: Sequence[str], block: str):
 
 
 def fill_forward(
-    rows: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], fills: dict[str, str]
+    rows: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], fills: dict[str, str],
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add, per ``fills`` item output -> source column, the latest non-null source at or before each row."""
+    """Add, per ``fills`` item output -> source column, the latest non-null source at or before each row.
+
+    With ``inclusive=False`` the row itself does not count.
+    """
     keys, order = list(keys), list(order)
-    window = _inside(keys, block, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    window = _inside(keys, block, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     place = F.struct(*order)
     ends = rows.groupBy(*keys, block).agg(
         *[F.max_by(src, F.when(F.col(src).isNotNull(), place)).alias(f"__{out}") for out, src in fills.items()]
@@ -60,6 +67,23 @@ def running_sum(
     )
 
 
+def running_extreme(
+    rows: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], columns: dict[str, str],
+    aggregate: Callable, pick: Callable,
+) -> DataFrame:
+    """Running minimum or maximum: ``aggregate``/``pick`` are F.min/F.least or F.max/F.greatest."""
+    keys, order = list(keys), list(order)
+    window = _inside(keys, block, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _across(keys, block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, block).agg(*[aggregate(src).alias(f"__{out}") for out, src in columns.items()])
+    carried = ends.select(*keys, block, *[aggregate(f"__{out}").over(before).alias(f"__{out}") for out in columns])
+    local = rows.withColumns({out: aggregate(src).over(window) for out, src in columns.items()})
+    joined = local.join(carried, [*keys, block], "left")
+    return joined.withColumns({out: pick(F.col(out), F.coalesce(f"__{out}", out)) for out in columns}).drop(
+        *[f"__{out}" for out in columns]
+    )
+
+
 def number_islands(
     rows: DataFrame,
     keys: Sequence[str],
@@ -68,8 +92,9 @@ def number_islands(
     looks_back: Sequence[str],
     starts: Callable[[dict[str, Column]], Column],
     out: str = "island",
+    nth: str | None = None,
 ) -> DataFrame:
-    """Number runs of consecutive rows, from 1 within each key.
+    """Number runs of consecutive rows, from 1 within each key; ``nth`` names a row number, from 0, within the run.
 
     ``starts`` gets the previous row's ``looks_back`` columns (NULL before the first row) and returns whether the
     current row opens a new run; a key's first row always does. ``starts`` may read, of the current row, the
@@ -87,46 +112,39 @@ def number_islands(
     )
     flag = F.when(F.col("__nth") == 1, F.lit(0)).otherwise(opens({c: F.col(f"__p_{c}") for c in looks_back}))
     inner = inner.withColumn("__open", flag.cast("long")).withColumn("__local", F.sum("__open").over(running))
+    inner = inner.withColumn("__at", F.max(F.when(F.col("__open") == 1, F.col("__nth"))).over(running))
 
     place = F.struct(*order)
     seen = F.struct(*looks_back)
     summary = inner.groupBy(*keys, block).agg(
         F.min_by(seen, place).alias("__first"), F.max_by(seen, place).alias("__last"),
-        F.sum("__open").alias("__inner"),
+        F.sum("__open").alias("__inner"), F.count("*").alias("__rows"), F.max("__at").alias("__at"),
     )
     across = _across(keys, block)
     summary = summary.withColumn("__before", F.lag("__last").over(across)).select(
-        *keys, block, "__inner", "__before", *[F.col(f"__first.{c}").alias(c) for c in looks_back]
+        *keys, block, "__inner", "__rows", "__at", "__before", *[F.col(f"__first.{c}").alias(c) for c in looks_back]
     )
     first_opens = F.when(F.col("__before").isNull(), F.lit(1)).otherwise(
         opens({c: F.col(f"__before.{c}") for c in looks_back})
     )
-    summary = summary.withColumn("__head", first_opens.cast("long")).select(*keys, block, "__inner", "__head")
+    summary = summary.withColumn("__head", first_opens.cast("long"))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("__base_row", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    opened = F.coalesce(F.col("__at"), F.when(F.col("__head") == 1, F.lit(1)))  # last opening row in the block
+    summary = summary.withColumn("__opened", F.col("__base_row") + opened)
     upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = F.sum(F.col("__head") + F.col("__inner")).over(upto) - F.col("__inner")
-    carried = summary.select(*keys, block, base.alias("__base"))
-    numbered = inner.join(carried, [*keys, block]).withColumn(out, F.col("__base") + F.col("__local"))
-    return numbered.drop("__base", "__local", "__open", "__nth", *[f"__p_{c}" for c in looks_back])
-
-
-def previous_row(
-    rows: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], lags: dict[str, str]
-) -> DataFrame:
-    """Add, per ``lags`` item output -> source column, the source of the row just before (NULL on the first)."""
-    keys, order = list(keys), list(order)
-    window = _inside(keys, block, order)
-    place = F.struct(*order)
-    ends = rows.groupBy(*keys, block).agg(
-        F.max_by(F.struct(*[F.col(s).alias(o) for o, s in lags.items()]), place).alias("__end")
+    carried = summary.select(
+        *keys, block, base.alias("__base"), "__base_row",
+        F.when(F.col("__head") == 1, F.col("__base_row") + 1)
+        .otherwise(F.last("__opened", ignorenulls=True).over(earlier)).alias("__carried"),
     )
-    carried = ends.select(*keys, block, F.lag("__end").over(_across(keys, block)).alias("__end"))
-    local = rows.withColumns({o: F.lag(s).over(window) for o, s in lags.items()}).withColumn(
-        "__nth", F.row_number().over(window)
-    )
-    joined = local.join(carried, [*keys, block], "left")
-    return joined.withColumns(
-        {o: F.when(F.col("__nth") == 1, F.col(f"__end.{o}")).otherwise(F.col(o)) for o in lags}
-    ).drop("__end", "__nth")
+    numbered = inner.drop("__open", *[f"__p_{c}" for c in looks_back]).join(carried, [*keys, block])
+    numbered = numbered.withColumn(out, F.col("__base") + F.col("__local"))
+    if nth:
+        began = F.coalesce(F.col("__base_row") + F.col("__at"), F.col("__carried"))
+        numbered = numbered.withColumn(nth, F.col("__base_row") + F.col("__nth") - began)
+    return numbered.drop("__base", "__base_row", "__carried", "__local", "__at", "__nth")
 
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
