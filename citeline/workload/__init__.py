@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "lines")
 
 
 def registry() -> dict:

@@ -15,3 +15,6 @@ def code_of(key: Column) -> Column:
 
 
 CODE_SQL = "('F' || translate(upper(to_hex({k})), 'ABC', 'OIS'))"
+
+# White space as the column expressions see it, in the SQL engine's regex dialect.
+SPACE_SQL = r"[\s\v\p{Z}\x{85}\x1c-\x1f]"
