@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "lines")
+MODULES = ("retrieval", "lines", "codes")
 
 
 def registry() -> dict:
