@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import (
@@ -60,14 +60,20 @@ def build_lexicon(lines: DataFrame, faults: DataFrame) -> DataFrame:
     return first_entries(everything, ["manual_id", "kind", "code_key"], ["o1", "o2", "o3", "o4", "o5"])
 
 
-def known_identifiers(lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(known codes, known labels) as long tables for joins: (manual_id, fold) and (manual_id, loose).
+def code_spelling(code: Column) -> Column:
+    """The key under which a code is known: equal for all its display look-alikes."""
+    return F.concat(F.lit("c:"), lookalike_key(code_key(code)))
 
-    The look-alike key of a code and the loose key of a label are equal for all spellings that count as known.
-    """
-    codes = lexicon.where("kind <> 'label'").select("manual_id", lookalike_key(F.col("code_key")).alias("fold")).distinct()
-    labels = lexicon.where("kind = 'label'").select("manual_id", loose_label_key(F.col("code_key")).alias("loose")).distinct()
-    return codes, labels
+
+def label_spelling(label: Column) -> Column:
+    """The key under which a label is known, whether its words are joined by blanks or underscores."""
+    return F.concat(F.lit("l:"), loose_label_key(label_key(label)))
+
+
+def known_identifiers(lexicon: DataFrame) -> DataFrame:
+    """(manual_id, spelling): codes and labels of each manual as one long table for joins."""
+    spelling = F.when(F.col("kind") == "label", label_spelling(F.col("code_key"))).otherwise(code_spelling(F.col("code_key")))
+    return lexicon.select("manual_id", spelling.alias("spelling")).distinct()
 
 
 # --- models named in a question (D9, D10) -----------------------------------------------------------------------

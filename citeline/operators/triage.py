@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import (
-    bare_code, bracket_labels, code_key, code_like_tokens, label_key, lookalike_key, loose_label_key,
-    same_text_key, strip, without_labels,
+    bare_code, bracket_labels, code_like_tokens, same_text_key, strip, without_labels,
 )
+from citeline.operators.lexicon import code_spelling, label_spelling
 
 # Input limits, thresholds, generic terms, message texts.
 MAX_QUERY_CHARS = 2000
@@ -245,52 +245,57 @@ def uncited(items: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     return bare.unionByName(unknown)
 
 
-def unknown_identifiers(
-    texts: DataFrame, scopes: DataFrame, codes: DataFrame, labels: DataFrame, item: list[str], text: str = "text"
-) -> DataFrame:
-    """Bracketed labels and code-shaped tokens of each text that no manual in its scope knows.
+def text_mentions(texts: DataFrame, item: list[str], text: str = "text") -> DataFrame:
+    """Bracketed labels and code-shaped tokens of each text: (item, at, identifier, spellings).
 
-    texts: item columns (with query_id), text; scopes: (query_id, manual_id); codes: (manual_id, fold); labels:
-    (manual_id, loose). Result: (item columns, at, identifier), each identifier once, at its first place; labels
-    come before tokens.
+    Labels come before tokens and are masked before tokens are taken. Source ids and generic terms are not
+    identifiers; a trailing lowercase "s" may be a plural, so the word without it is a spelling too.
     """
-    shown = texts.select(*item, F.posexplode(bracket_labels(F.col(text))).alias("at", "lab"))
-    shown = shown.select(
+    labels = texts.select(*item, F.posexplode(bracket_labels(F.col(text))).alias("at", "lab")).select(
         *item, "at", F.concat(F.lit("["), "lab", F.lit("]")).alias("identifier"),
-        loose_label_key(label_key(F.col("lab"))).alias("loose"),
-    )
-    found = texts.select(*item, F.posexplode(code_like_tokens(without_labels(F.col(text)))).alias("at", "identifier"))
-    found = found.where(~F.col("identifier").rlike(SOURCE_ID))
-    # A trailing lowercase "s" may be a plural: the word without it counts as well.
-    singular = F.when((F.length("identifier") > 2) & F.col("identifier").endswith("s"), F.expr("substring(identifier, 1, length(identifier) - 1)"))
-    forms = F.array_compact(F.array(F.col("identifier"), singular))
-    found = found.withColumn("forms", forms).where(~F.exists("forms", lambda f: F.upper(f).isin(*GENERIC_TERMS)))
-    folded = found.select(*item, "at", F.explode(F.transform("forms", lambda f: lookalike_key(code_key(f)))).alias("fold"))
-    known_tokens = folded.join(scopes, "query_id").join(codes, ["manual_id", "fold"]).select(*item, "at").distinct()
-    known_labels = shown.join(scopes, "query_id").join(labels, ["manual_id", "loose"]).select(*item, "at").distinct()
-    bad_labels = shown.join(known_labels, [*item, "at"], "left_anti").select(*item, "at", "identifier")
-    bad_tokens = found.join(known_tokens, [*item, "at"], "left_anti").select(
-        *item, (F.col("at") + 1_000_000).alias("at"), "identifier"
-    )
-    return bad_labels.unionByName(bad_tokens).groupBy(*item, "identifier").agg(F.min("at").alias("at"))
-
-
-def unknown_code_fields(
-    causes: DataFrame, scopes: DataFrame, codes: DataFrame, labels: DataFrame, item: list[str], field: str = "fault_code"
-) -> DataFrame:
-    """The code field "[Name] CODE": name and code must both be known. Not deduplicated."""
-    filled = causes.where(F.col(field).isNotNull() & (F.col(field) != ""))
-    shown = filled.select(*item, F.posexplode(bracket_labels(F.col(field))).alias("at", "lab"))
-    shown = shown.withColumn("loose", loose_label_key(label_key(F.col("lab"))))
-    known = shown.join(scopes, "query_id").join(labels, ["manual_id", "loose"]).select(*item, "at").distinct()
-    bad_labels = shown.join(known, [*item, "at"], "left_anti").select(
-        *item, "at", F.concat(F.lit("["), "lab", F.lit("]")).alias("identifier")
+        F.array(label_spelling(F.col("lab"))).alias("spellings"),
+    )
+    tokens = texts.select(*item, F.posexplode(code_like_tokens(without_labels(F.col(text)))).alias("at", "identifier"))
+    plural = (F.length("identifier") > 2) & F.col("identifier").endswith("s")
+    forms = F.when(plural, F.array("identifier", F.expr("left(identifier, length(identifier) - 1)"))).otherwise(F.array("identifier"))
+    tokens = tokens.where(~F.col("identifier").rlike(SOURCE_ID)).withColumn("forms", forms)
+    tokens = tokens.where(~F.exists("forms", lambda f: F.upper(f).isin(*GENERIC_TERMS))).select(
+        *item, (F.col("at") + 1_000_000).alias("at"), "identifier", F.transform("forms", code_spelling).alias("spellings")
+    )
+    return labels.unionByName(tokens)
+
+
+def field_mentions(causes: DataFrame, item: list[str], field: str = "fault_code") -> DataFrame:
+    """The code field "[Name] CODE": each name and the code, as for texts."""
+    filled = causes.where(F.col(field) != "")
+    names = F.transform(bracket_labels(F.col(field)), lambda lab: F.struct(
+        F.concat(F.lit("["), lab, F.lit("]")).alias("identifier"), F.array(label_spelling(lab)).alias("spellings")
+    ))
+    bare = bare_code(F.col(field))
+    code = F.when(bare != "", F.array(F.struct(bare.alias("identifier"), F.array(code_spelling(bare)).alias("spellings"))))
+    found = F.concat(names, F.coalesce(code, F.slice(names, 1, 0)))
+    return filled.select(*item, F.posexplode(found).alias("at", "m")).select(*item, "at", "m.identifier", "m.spellings")
+
+
+def unknown_mentions(mentions: DataFrame, scopes: DataFrame, known: DataFrame, item: list[str]) -> DataFrame:
+    """Mentions none of whose spellings any manual in the question's scope knows: (item, at, identifier).
+
+    ``item`` holds query_id; scopes: (query_id, manual_id); known: (manual_id, spelling).
+    """
+    spelled = mentions.select(*item, "at", "identifier", F.explode("spellings").alias("spelling"))
+    looked = spelled.join(scopes, "query_id", "left").join(
+        known.withColumn("__known", F.lit(True)), ["manual_id", "spelling"], "left"
     )
-    bare = filled.select(*item, bare_code(F.col(field)).alias("identifier")).where("identifier <> ''")
-    bare = bare.withColumn("fold", lookalike_key(code_key(F.col("identifier"))))
-    fine = bare.join(scopes, "query_id").join(codes, ["manual_id", "fold"]).select(*item).distinct()
-    bad_codes = bare.join(fine, item, "left_anti").select(*item, F.lit(1_000_000).alias("at"), "identifier")
-    return bad_labels.unionByName(bad_codes)
+    judged = looked.groupBy(*item, "at", "identifier").agg(F.bool_or("__known").alias("__known"))
+    return judged.where("__known is null").drop("__known")
+
+
+def unknown_identifiers(
+    texts: DataFrame, scopes: DataFrame, known: DataFrame, item: list[str], text: str = "text"
+) -> DataFrame:
+    """Identifiers of the texts that no manual in scope knows, each once per item, at its first place."""
+    found = unknown_mentions(text_mentions(texts, item, text), scopes, known, item)
+    return found.groupBy(*item, "identifier").agg(F.min("at").alias("at"))
 
 
 def repeated_causes(causes: DataFrame, keys: list[str], text: str = "text", n: str = "n") -> DataFrame:
@@ -311,34 +316,41 @@ def isolation_violations(answers: DataFrame, sources: DataFrame, keys: list[str]
 
 
 def audit_answers(
-    answers: DataFrame, sources: DataFrame, codes: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("query_id", "attempt")
+    answers: DataFrame, sources: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("query_id", "attempt")
 ) -> DataFrame:
     """(keys, violations): the ordered violation list of every parsed answer, empty when clean.
 
     An answer may use the identifiers of the manuals among its sources. Answers that decline are not checked.
     """
     keys = list(keys)
-    broken = answers.where(~F.col("schema_ok")).select(*keys, F.lit(SCHEMA_VIOLATION).alias("note"))
+    broken = answers.where(~F.col("schema_ok"))
     active = answers.where(F.col("schema_ok") & (F.col("answer.status") != "insufficient_evidence"))
     items = answer_items(active, keys)
-    item = [*keys, "section", "n", "label"]
+    item = [*keys, "section", "n", "label", "step"]
     scopes = sources.select("query_id", "manual_id").distinct()
 
-    def rows(frame: DataFrame, step: int, note: Column) -> DataFrame:
-        return frame.select(*keys, "section", "n", F.lit(step).alias("step"), F.col("at").cast("long").alias("at"), note.alias("note"))
+    def rows(frame: DataFrame, step: Column, note: Column) -> DataFrame:
+        return frame.select(*keys, "section", "n", step.alias("step"), F.col("at").cast("long").alias("at"), note.alias("note"))
 
-    says = F.concat("label", F.lit(": unknown identifier "), "identifier")
     causes = items.where("section = 1")
+    mentions = text_mentions(items.withColumn("step", F.lit(2)), item).unionByName(
+        field_mentions(causes.withColumn("step", F.lit(3)), item)
+    )
+    # A text reports an identifier once; a code field reports all it holds.
+    once = F.when(F.col("step") == 3, F.col("at"))
+    unknown = unknown_mentions(mentions, scopes, known, item).groupBy(*item, "identifier", once.alias("__once")).agg(
+        F.min("at").alias("at")
+    )
+    says = F.concat("label", F.lit(": unknown identifier "), "identifier")
     repeats = repeated_causes(causes, keys).withColumns({"section": F.lit(1), "at": F.lit(0)})
     whole = lambda frame, section, note: frame.select(
         *keys, F.lit(section).alias("section"), F.lit(0).alias("n"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("at"), F.lit(note).alias("note")
     )
     found = (
         whole(active.where(F.size("answer.probable_causes") == 0), 0, NO_CAUSES)
-        .unionByName(rows(uncited(items, sources, keys), 1, F.col("note")))
-        .unionByName(rows(unknown_identifiers(items, scopes, codes, labels, item), 2, says))
-        .unionByName(rows(unknown_code_fields(causes, scopes, codes, labels, item), 3, says))
-        .unionByName(rows(repeats, 4, F.format_string("cause %d repeats cause %d: list each cause once", "n", "first")))
+        .unionByName(rows(uncited(items, sources, keys), F.lit(1), F.col("note")))
+        .unionByName(rows(unknown, F.col("step"), says))
+        .unionByName(rows(repeats, F.lit(4), F.format_string("cause %d repeats cause %d: list each cause once", "n", "first")))
         .unionByName(whole(isolation_violations(active, sources, keys), 9, NO_ISOLATION))
         .unionByName(whole(broken, 0, SCHEMA_VIOLATION))
     )

@@ -7,25 +7,27 @@ reader sees the whole old or the whole new state of a manual, across all tables.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("chunks", "fault_codes", "lexicon")
 
 
-def _versions(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manuals")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manuals/{n}/_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith("version="))
+def _versions(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{root}/manuals")
+    except AnalysisException:  # nothing stored yet
+        return None
+
+
+def _newest(versions: DataFrame | None) -> int:
+    return 0 if versions is None else versions.agg(F.max("version")).first()[0]
 
 
 def current_manuals(spark: SparkSession, root: str) -> DataFrame | None:
     versions = _versions(spark, root)
-    return spark.read.parquet(f"{root}/manuals/version={versions[-1]}") if versions else None
+    return None if versions is None else versions.where(F.col("version") == _newest(versions)).drop("version")
 
 
 def plan_ingest(incoming: DataFrame, stored: DataFrame | None, force: bool = False) -> DataFrame:
@@ -56,17 +58,17 @@ def replace_manuals(
     keys = manuals.select(F.col("id").alias("manual_id"), "sha256")
     for name, table in zip(TABLES, (chunks, fault_codes, lexicon)):
         rows = table.join(keys, "manual_id")
-        # One hot manual is spread over several files instead of one task.
-        spread = rows.repartition("manual_id", "sha256", F.pmod(F.xxhash64(*rows.columns[:3]), F.lit(8)))
+        # Rebalancing gathers small manuals into few files and splits a hot one over several tasks.
+        spread = rows.hint("rebalance", "manual_id", "sha256")
         (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("manual_id", "sha256").parquet(f"{root}/{name}"))
-    versions = _versions(spark, root)
+    newest = _newest(_versions(spark, root))
     old = current_manuals(spark, root)
     stamped = manuals.withColumn("ingested_at", F.current_timestamp())
     if old is not None:
         kept = old.join(manuals.select("id"), "id", "left_anti")
         stamped = kept.unionByName(stamped, allowMissingColumns=True)
-    stamped.write.parquet(f"{root}/manuals/version={versions[-1] + 1 if versions else 1}")
+    stamped.write.parquet(f"{root}/manuals/version={newest + 1}")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "lines", "codes")
+MODULES = ("retrieval", "lines", "codes", "answers", "stored")
 
 
 def registry() -> dict:

@@ -179,8 +179,8 @@ def order_answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def audit_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     texts, scopes = order_answers(spark, sf)
     entries = part_codes(spark, sf).select("manual_id", F.lit("fault").alias("kind"), "code_key")
-    codes, labels = lexicon.known_identifiers(entries)
-    found = triage.unknown_identifiers(texts, scopes, codes, labels, ["query_id"])
+    known = lexicon.known_identifiers(entries)
+    found = triage.unknown_identifiers(texts, scopes, known, ["query_id"])
     return found.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "identifier"))), lambda x: x["identifier"]), " ").alias("unknown")
     )
