@@ -12,6 +12,15 @@ LOOKALIKE_TO = "OIS"
 LOOKALIKE_FREE = 6  # 2^6 = 64 spellings are enumerated; earlier positions must agree exactly
 # --- end of fixed values ---
 
+# A whole token that is shaped like a code: it starts where no token can reach back, and somewhere after its first
+# character comes a capital, or it starts with a capital and has a digit. Possessive loops keep it linear.
+_INNER = r"[.\-](?=[A-Za-z0-9])"
+CODE_TOKEN = (
+    r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][.\-])"
+    rf"(?=[A-Za-z0-9](?:[a-z0-9]++|{_INNER})*+[A-Z]|[A-Z](?:[A-Za-z]++|{_INNER})*+[0-9])"
+    r"[A-Za-z0-9]++(?:[.\-][A-Za-z0-9]++)*+"
+)
+
 SPACE = r"[\s\x1c-\x1f]"  # used under (?U): Java's Unicode white space plus the four ASCII separators
 
 
@@ -55,7 +64,8 @@ def tokens(text: Column) -> Column:
 
 
 def code_like_tokens(text: Column) -> Column:
-    return F.filter(tokens(text), is_code_like)
+    """The code-shaped tokens of a text; only they are cut out, not every word."""
+    return F.regexp_extract_all(text, F.lit(CODE_TOKEN), F.lit(0))
 
 
 def bracket_labels(text: Column) -> Column:

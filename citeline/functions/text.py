@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeline.functions.identifiers import LABEL, SPACE, TOKEN, code_key, is_code_like, strip
+from citeline.functions.identifiers import CODE_TOKEN, LABEL, TOKEN, code_key, is_code_like, strip
 
 # --- Fixed values: script blocks, sentence ends, marker alphabet, protected spans, spelled letters ---
 SCRIPTS = (("hi", r"[ऀ-ॿ]"), ("ta", r"[஀-௿]"))
@@ -19,7 +19,7 @@ UNITS = (
     "kV", "V", "mA", "A", "kHz", "Hz", "kW", "W", "ohms?", "Ω", "rpm", "mm", "m",
 )
 QUANTITY = (
-    r"(?U)(?<![\w.])(?<![A-Za-z]-)\d+(?:[.,]\d+)?(?:\s?(?:" + "|".join(UNITS) + r")(?![A-Za-z]))?"
+    r"(?U)(?=\d)(?<![\w.])(?<![A-Za-z]-)\d+(?:[.,]\d+)?(?:\s?(?:" + "|".join(UNITS) + r")(?![A-Za-z]))?"
 )
 SPELLED_PREFIX = r"(?U)जेड\.?\s*क्यू\.?\s*"
 SPELLED_LETTERS = {
@@ -83,12 +83,15 @@ def _apply(value: Column, step) -> Column:
 
 def _number_codes(state: Column, keys: Column | None) -> Column:
     masked, kept = state["masked"], state["kept"]
+    # Without listed codes only code-shaped tokens matter, and few tokens are.
+    shape = CODE_TOKEN if keys is None else TOKEN
 
     def protects(token: Column) -> Column:
-        wanted = is_code_like(token)
-        if keys is not None:
-            wanted = wanted | F.coalesce(F.array_contains(keys, code_key(token)), F.lit(False))
-        return wanted & ~token.rlike(MARKER)
+        unmarked = ~token.rlike(MARKER)
+        if keys is None:
+            return unmarked
+        listed = F.coalesce(F.array_contains(keys, code_key(token)), F.lit(False))
+        return (is_code_like(token) | listed) & unmarked
 
     def numbered(parts: Column) -> Column:
         gaps, found = parts["gaps"], parts["found"]
@@ -101,8 +104,8 @@ def _number_codes(state: Column, keys: Column | None) -> Column:
         )
 
     parts = F.struct(
-        F.split(masked, TOKEN, -1).alias("gaps"),
-        F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0)).alias("found"),
+        F.split(masked, shape, -1).alias("gaps"),
+        F.regexp_extract_all(masked, F.lit(shape), F.lit(0)).alias("found"),
     )
     return _apply(parts, numbered)
 
