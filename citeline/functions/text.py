@@ -127,10 +127,15 @@ def markers_for(kept: Column) -> Column:
 
 def restore_spans(translated: Column, kept: Column) -> Column:
     """The kept texts back in place of their markers; NULL when a marker was lost, doubled or invented."""
-    found = F.regexp_extract_all(translated, F.lit(MARKER), F.lit(0))
-    intact = F.sort_array(found) == F.sort_array(markers_for(kept))
-    texts = F.transform(found, lambda m: F.get(kept, marker_index(m)))
-    return F.when(intact, _interleave(F.split(translated, MARKER, -1), texts))
+
+    def put_back(pair: Column) -> Column:
+        text, originals = pair["text"], pair["originals"]
+        found = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
+        intact = F.sort_array(found) == F.sort_array(markers_for(originals))
+        texts = F.transform(found, lambda m: F.get(originals, marker_index(m)))
+        return F.when(intact, _interleave(F.split(text, MARKER, -1), texts))
+
+    return _apply(F.struct(translated.alias("text"), kept.alias("originals")), put_back)
 
 
 def unspell_markers(text: Column) -> Column:
