@@ -49,9 +49,13 @@ def lookalike_key(key: Column) -> Column:
     shape = f"[{LOOKALIKE_FROM}{LOOKALIKE_TO}]"
     other = f"[^{LOOKALIKE_FROM}{LOOKALIKE_TO}]"
     lead = F.regexp_replace(key, rf"(?:{shape}{other}*){{{LOOKALIKE_FREE}}}$", "")
-    return F.when(
-        F.regexp_count(key, F.lit(shape)) > LOOKALIKE_FREE, F.concat(folded, F.lit("|"), lead)
-    ).otherwise(folded)
+    many = (F.length(key) > LOOKALIKE_FREE) & (F.regexp_count(key, F.lit(shape)) > LOOKALIKE_FREE)
+    return F.when(many, F.concat(folded, F.lit("|"), lead)).otherwise(folded)
+
+
+def token_key(token: Column) -> Column:
+    """``code_key`` of a token cut by ``TOKEN``: it has no white space, footnote or trailing dash to remove."""
+    return F.upper(token)
 
 
 def is_code_like(token: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import (
-    bracket_labels, code_key, code_like_tokens, label_key, lookalike_key, loose_label_key, strip, tokens,
+    bracket_labels, code_key, code_like_tokens, label_key, lookalike_key, loose_label_key, strip, token_key, tokens,
 )
 from citeline.operators.lines import CODE_FONT
 
@@ -51,9 +51,9 @@ def build_lexicon(lines: DataFrame, faults: DataFrame) -> DataFrame:
         "manual_id", "page", "pos", "n", F.when(F.col("s.before").rlike(TRAILING_LABEL), label).alias("label"),
         F.posexplode(tokens(F.col("s.span.text"))).alias("t", "token"),
     )
-    hmi = entry(hmi, "hmi", F.col("token"), code_key(F.col("token")), F.col("label"), page, F.lit(1), F.col("pos"), F.col("n"), F.col("t"))
+    hmi = entry(hmi, "hmi", F.col("token"), token_key(F.col("token")), F.col("label"), page, F.lit(1), F.col("pos"), F.col("n"), F.col("t"))
     printed = base.select("manual_id", "page", "pos", F.posexplode(code_like_tokens(F.col("text"))).alias("t", "token"))
-    token = entry(printed, "token", F.col("token"), code_key(F.col("token")), none, page, F.lit(1), F.col("pos"), F.col("t"))
+    token = entry(printed, "token", F.col("token"), token_key(F.col("token")), none, page, F.lit(1), F.col("pos"), F.col("t"))
     bracketed = base.select("manual_id", "page", "pos", F.posexplode(bracket_labels(F.col("text"))).alias("t", "lab"))
     labels = entry(bracketed, "label", F.col("lab"), label_key(F.col("lab")), none, page, F.lit(1), F.col("pos"), F.col("t"))
     everything = named.unionByName(coded).unionByName(hmi).unionByName(token).unionByName(labels).where("code_key <> ''")
@@ -65,6 +65,11 @@ def code_spelling(code: Column) -> Column:
     return F.concat(F.lit("c:"), lookalike_key(code_key(code)))
 
 
+def token_spelling(token: Column) -> Column:
+    """``code_spelling`` of a token of running text."""
+    return F.concat(F.lit("c:"), lookalike_key(token_key(token)))
+
+
 def label_spelling(label: Column) -> Column:
     """The key under which a label is known, whether its words are joined by blanks or underscores."""
     return F.concat(F.lit("l:"), loose_label_key(label_key(label)))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import (
-    code_key, lookalike_key, query_code_candidates, reads_like_display, words,
+    lookalike_key, query_code_candidates, reads_like_display, token_key, words,
 )
 from citeline.functions.stopwords import STOP_WORDS
 from citeline.operators.scans import top_per_group
@@ -47,7 +47,7 @@ def detect_codes(
         question_id, *(["scope"] if has_scope else []),
         F.posexplode(query_code_candidates(F.col(text))).alias("tok_pos", "token"),
     )
-    key = code_key(F.col("token"))
+    key = token_key(F.col("token"))
     tokens = tokens.withColumns({"tok_key": key, "fold": lookalike_key(key)})
     hits = tokens.join(index, "fold").withColumn("fuzzy", F.col("tok_key") != F.col("code_key"))
     hits = hits.where(~F.col("fuzzy") | reads_like_display(F.col("token")))

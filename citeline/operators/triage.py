@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeline.functions.identifiers import (
     bare_code, bracket_labels, code_like_tokens, same_text_key, strip, without_labels,
 )
-from citeline.operators.lexicon import code_spelling, label_spelling
+from citeline.operators.lexicon import code_spelling, label_spelling, token_spelling
 
 # Input limits, thresholds, generic terms, message texts.
 MAX_QUERY_CHARS = 2000
@@ -260,7 +260,7 @@ def text_mentions(texts: DataFrame, item: list[str], text: str = "text") -> Data
     forms = F.when(plural, F.array("identifier", F.expr("left(identifier, length(identifier) - 1)"))).otherwise(F.array("identifier"))
     tokens = tokens.where(~F.col("identifier").rlike(SOURCE_ID)).withColumn("forms", forms)
     tokens = tokens.where(~F.exists("forms", lambda f: F.upper(f).isin(*GENERIC_TERMS))).select(
-        *item, (F.col("at") + 1_000_000).alias("at"), "identifier", F.transform("forms", code_spelling).alias("spellings")
+        *item, (F.col("at") + 1_000_000).alias("at"), "identifier", F.transform("forms", token_spelling).alias("spellings")
     )
     return labels.unionByName(tokens)
 

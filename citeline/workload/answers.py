@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeline.functions.text import detect_script
 from citeline.operators import evaluate, lexicon, search, translate, triage
 from citeline.operators.vectors import Lane, vector_topk
-from citeline.session import settle
+from citeline.session import settle, spread
 from citeline.workload.codes import PARTS_CTE, part_codes
 from citeline.workload.common import CODE_SQL, SPACE_SQL, code_of, table
 from citeline.workload.retrieval import KEYWORD_CTES, questions
@@ -153,7 +153,7 @@ select doc_id, case when length(text) > 2000 then 'query is too long' when bare
 
 
 def script_detect(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
     turns = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     return docs.unionByName(turns).select("id", detect_script(F.col("text"), SCRIPT_BLOCKS).alias("script"))
 
@@ -166,7 +166,7 @@ select id, case when greatest(fr, de, es) = 0 then 'en' when fr = greatest(fr, d
 
 def _coded_documents(spark: SparkSession, sf: str) -> DataFrame:
     tail = F.concat(F.lit(" [Brake release] "), code_of(F.col("doc_id") + 256), F.lit(" after 15 minutes, see pp. 12-13."))
-    return table(spark, sf, "documents").select("doc_id", "lang", F.concat("text", tail).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", "lang", F.concat("text", tail).alias("text"))
 
 
 CODED_SQL = f"(select doc_id, lang, text || ' [Brake release] ' || {CODE_SQL.format(k='(doc_id + 256)')} || ' after 15 minutes, see pp. 12-13.' as text from documents)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import code_key, code_like_tokens, lookalike_key
 from citeline.operators import audit, evaluate, lexicon, search, triage
-from citeline.session import settle
+from citeline.session import spread
 from citeline.workload.common import CODE_SQL, code_of, table
 
 IS_CODE_SQL = """(length({t}) >= 2 and regexp_matches({t}, '[A-Za-z]') and (
@@ -41,7 +41,7 @@ def line_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def code_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Code-shaped tokens of whole documents and pages."""
-    texts = table(spark, sf, "documents").select(F.lit("doc").alias("src"), "text").unionByName(
+    texts = spread(table(spark, sf, "documents")).select(F.lit("doc").alias("src"), "text").unionByName(
         table(spark, sf, "pages").select(F.lit("page").alias("src"), F.col("html").alias("text"))
     )
     found = texts.select("src", F.explode(code_like_tokens(F.col("text"))).alias("token"))
@@ -71,7 +71,7 @@ select a.manual as scope, a.code || '~' || b.code as pair from c a join c b usin
 
 def lexicon_first(spark: SparkSession, sf: str) -> DataFrame:
     """First occurrence of every identifier per source; German text plays the code font, parts give the faults."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     font = F.when(F.col("lang") == "de", F.lit("CourierNewPS-BoldMT")).otherwise(F.lit("ArialMT"))
     lines = docs.select(
         F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), F.col("doc_id").alias("pos"), "text",

@@ -8,14 +8,14 @@ from citeline.functions.identifiers import collapse_spaces
 from citeline.operators import lines as L, records as R
 from citeline.operators.packing import pack_lines
 from citeline.operators.scans import fill_forward, number_islands
-from citeline.session import settle
+from citeline.session import spread
 from citeline.workload.common import SPACE_SQL, table
 
 LINE_BLOCK = 1000
 
 
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = L.lines_of_text(table(spark, sf, "documents"), "doc_id", "text")
+    lines = L.lines_of_text(spread(table(spark, sf, "documents")), "doc_id", "text")
     return lines.withColumn("page", F.floor(F.col("idx") / LINE_BLOCK).cast("int"))
 
 
