@@ -50,15 +50,12 @@ def hash_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def hash_embedding(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, buckets, counts) per text, sparse; texts without words get empty arrays (a zero vector)."""
-    counted = hash_counts(texts, id_col, text_col)
-    packed = counted.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("__v"))
-    joined = texts.select(id_col).join(packed, id_col, "left")
-    empty = F.array().cast("array<int>")
-    return joined.select(
-        id_col,
-        F.coalesce(F.col("__v.bucket"), empty).alias("buckets"),
-        F.coalesce(F.col("__v.n").cast("array<int>"), empty).alias("counts"),
-    )
+    found = texts.repartition(id_col).select(id_col, F.explode_outer(words(F.col(text_col))).alias("word"))
+    counted = found.groupBy(id_col, hash_bucket(F.col("word")).alias("bucket")).agg(F.count("word").alias("n"))
+    # collect_list skips the NULL that stands for "no words"; at most one entry per bucket remains.
+    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("n").cast("int").alias("n")))
+    packed = counted.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("__v"))
+    return packed.select(id_col, F.col("__v.bucket").alias("buckets"), F.col("__v.n").alias("counts"))
 
 
 def normalised(counts: DataFrame, id_col: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeline.functions.identifiers import code_key, code_like_tokens, lookalike_key
+from citeline.functions.identifiers import code_key, code_like_tokens
 from citeline.operators import audit, evaluate, lexicon, search, triage
 from citeline.session import spread
 from citeline.workload.common import CODE_SQL, code_of, table
