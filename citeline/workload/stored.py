@@ -9,7 +9,7 @@ from citeline.session import scratch_path
 from citeline.sources import registry, runs, store
 from citeline.streaming import reports as stream
 from citeline.workload.common import table
-from citeline.workload.retrieval import hybrid_faults, passages
+from citeline.workload.retrieval import HYBRID_SQL, hybrid_faults, passages
 
 
 def fingerprint_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,6 +137,23 @@ def report_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _plain_retrieval_sql() -> str:
+    """The hybrid SQL for plain reports: no codes appended, no rewrites."""
+    start = HYBRID_SQL.index("  union all select query_id, 1, rewrite")
+    sql = HYBRID_SQL[:start].rstrip() + HYBRID_SQL[HYBRID_SQL.index("),\nterms as", start):]
+    for old, new in (
+        ("text || ' ' || code as txt", "text as txt"), ("where not fuzzy or not exists", "where false and not exists"),
+        ("variant = 1 qualify", "variant = 0 qualify"),
+    ):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+REPORT_SQL = f"""select query_id, false as has_code, any_value(top_score) as top_score, any_value(top_score) < 0.6 as gated, count(*) as passages
+from ({_plain_retrieval_sql()}) group by query_id"""
+
+
 QUERIES = {
     "fingerprint_diff": (fingerprint_diff, FINGERPRINT_SQL),
     "replace_idempotent": (replace_idempotent, REPLACE_SQL),
@@ -144,5 +161,5 @@ QUERIES = {
     "chunk_counts": (chunk_counts, COUNTS_SQL),
     "lookback": (lookback, LOOKBACK_SQL.format(w="1 day")),
     "lookback_stream": (lookback_stream, LOOKBACK_SQL.format(w="30 minutes")),
-    "report_stream": (report_stream, None),
+    "report_stream": (report_stream, REPORT_SQL),
 }
