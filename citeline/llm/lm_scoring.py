@@ -117,6 +117,13 @@ class Numbers:
                 out[a:b] = np.where(found, place + self.starts[s], -1)
         return out, bounds
 
+    def values(self, name: str, keys: np.ndarray) -> np.ndarray:
+        """Values of ascending keys, all of which are known, in the array that lies beside the keys."""
+        place = self.find(keys)[0]
+        if (place < 0).any():
+            raise KeyError(f"a key is not in {self.name}")
+        return _spread(self.folder, name, "i8", self.starts, place)
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         distinct, inverse = np.unique(hashes, return_inverse=True)
         return self.find(distinct)[0][inverse]
