@@ -12,3 +12,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remainder(key: str, by: int) -> Column:
     """crc32 of the key as text, modulo ``by``; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm_scoring", "exact_dedup", "token_counts", "jaccard_join")
+MODULES = ("lm_scoring", "exact_dedup", "token_counts", "jaccard_join", "decontamination", "packing")
 
 
 def registry() -> dict:
