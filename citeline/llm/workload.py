@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm_scoring", "exact_dedup", "token_counts", "jaccard_join", "decontamination", "packing", "toxicity", "language_id")
+MODULES = ("lm_scoring", "exact_dedup", "token_counts", "jaccard_join", "decontamination", "packing", "toxicity", "language_id", "chat_format", "warc")
 
 
 def registry() -> dict:
