@@ -33,18 +33,13 @@ def sha1(payload: bytes) -> str:
 
 
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, url, payload, digest, refers_to) of rows (id, url, payload): null where the record is a response."""
-    kind = pages.schema["id"].dataType.simpleString()
-
-    def digests(batches):
-        for batch in batches:
-            payloads = batch.column("payload").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([sha1(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["id", "digest", "size"])
-
-    signed = pages.select("id", "payload").mapInArrow(digests, f"id {kind}, digest string, size long").where(F.col("size") >= min_bytes)
-    last = signed.groupBy("digest", "size").agg(F.max("id").alias("refers_to"))
-    revisits = signed.join(last, ["digest", "size"]).where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
-    return pages.join(revisits, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "url", "payload", F.col("_digest").alias("revisit_digest"), "refers_to")
+    """(id, url, payload, revisit_digest, refers_to) of rows (id, url, payload): the last two are null for a response."""
+    signed = pages.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload"))
+    last = signed.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("refers_to"))
+    keys = signed.select("id", "digest", "size").join(last, ["digest", "size"])
+    revisits = keys.where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("_id"), F.col("digest").alias("revisit_digest"), F.col("size").alias("_size"), "refers_to").distinct()
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("revisit_digest")) & (F.col("size") == F.col("_size"))
+    return signed.join(revisits, same, "left").select("id", "url", "payload", "revisit_digest", "refers_to")
 
 
 def _line(value: str) -> str:
