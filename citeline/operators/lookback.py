@@ -13,15 +13,17 @@ def _within(report_ts: str, reading_ts: str, window: str) -> Column:
 
 
 def recent_readings(
-    reports: DataFrame, readings: DataFrame, window: str = WINDOW, seconds: int = 1800, machine: str = "machine_id",
+    reports: DataFrame, readings: DataFrame, window: str = WINDOW, machine: str = "machine_id",
     report_ts: str = "report_ts", reading_ts: str = "ts",
 ) -> DataFrame:
     """Reports joined to their machine's readings between report time minus the window and report time.
 
     Time is cut into slots of the window's length, and a report looks into its own slot and the one before. The
     join is then an equi-join on (machine, slot), so a machine that sends a third of all readings is spread over
-    its slots instead of meeting all its reports in one task. ``seconds`` is the length of ``window``.
+    its slots instead of meeting all its reports in one task. A window of months takes slots of the longest such months.
     """
+    start = "timestamp'2023-07-01 00:00:00'"
+    seconds = F.expr(f"greatest(1, unix_timestamp({start} + INTERVAL {window}) - unix_timestamp({start}) + 1)")  # folded to a constant
     slot = lambda ts: F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds)
     looking = reports.where(F.col(machine).isNotNull()).withColumn(
         "__slot", F.explode(F.array(slot(report_ts), slot(report_ts) - 1))

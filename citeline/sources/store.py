@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 TABLES = ("chunks", "fault_codes", "lexicon")
 
@@ -74,7 +75,10 @@ def replace_manuals(
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The rows of the current state; superseded partitions are pruned by the join."""
     current = current_manuals(spark, root).select(F.col("id").alias("manual_id"), "sha256")
-    return spark.read.parquet(f"{root}/{name}").join(current, ["manual_id", "sha256"], "left_semi").drop("sha256")
+    # the key keeps its type: read from folder names, "007" would become a number
+    kinds = {f.name: f.dataType for f in current.schema}
+    schema = StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in spark.read.parquet(f"{root}/{name}").schema])
+    return spark.read.schema(schema).parquet(f"{root}/{name}").join(current, ["manual_id", "sha256"], "left_semi").drop("sha256")
 
 
 def passages_by_id(ids: DataFrame, chunks: DataFrame, manuals: DataFrame) -> DataFrame:

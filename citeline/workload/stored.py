@@ -98,7 +98,7 @@ def _reports_and_readings(spark: SparkSession, sf: str) -> tuple[DataFrame, Data
 def lookback(spark: SparkSession, sf: str) -> DataFrame:
     """Error events as reports, all events of the same user in the day before as readings."""
     errors, readings = _reports_and_readings(spark, sf)
-    return recent_readings(errors, readings, "1 day", 86400).select("report_id", "reading_id", "value")
+    return recent_readings(errors, readings, "1 day").select("report_id", "reading_id", "value")
 
 
 LOOKBACK_SQL = """select e.event_id as report_id, r.event_id as reading_id, r.value from events e join events r on e.user_id = r.user_id

@@ -116,3 +116,17 @@ def test_report_stream(spark):
     gated = {r.query_id: r.gate_reason for r in spark.read.parquet(f"{target}/gated").collect()}
     assert gated["a"] is None and gated["c"] is not None and "b" not in gated
     assert spark.read.parquet(f"{target}/rejected").count() == 1
+
+
+@pytest.mark.parametrize("window, want", [("2 hours", [1, 2]), ("10 minutes", [1])])
+def test_lookback_reaches_as_far_as_its_window(spark, window, want):
+    reports = spark.sql("SELECT 'm' AS machine_id, timestamp'2024-03-01 12:00:00' AS report_ts")
+    readings = spark.sql("SELECT 'm' AS machine_id, ts, n FROM VALUES (timestamp'2024-03-01 11:55:00', 1), (timestamp'2024-03-01 10:05:00', 2), (timestamp'2024-03-01 12:00:01', 3) AS t(ts, n)")
+    assert sorted(r.n for r in recent_readings(reports, readings, window).collect()) == want
+
+
+def test_manual_ids_of_digits_stay_text(spark, tmp_path):
+    manuals = spark.createDataFrame([("007", "a1"), ("7", "b2")], "id string, sha256 string")
+    rows = spark.createDataFrame([("007", "x"), ("7", "y")], "manual_id string, text string")
+    store.replace_manuals(spark, str(tmp_path), manuals, rows, rows, rows)
+    assert sorted((r.manual_id, r.text) for r in store.read_table(spark, str(tmp_path), "chunks").collect()) == [("007", "x"), ("7", "y")]
