@@ -158,4 +158,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(index, folder, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op6_warc": (op6_warc, None)}
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS top, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((instr('0123456789abcdef', substr(x, (5 * i // 4 + 1)::INT, 1)) - 1) * 16
+        + instr('0123456789abcdef', substr(x, (5 * i // 4 + 2)::INT, 1)) - 1) >> (3 - 5 * i % 4)::INT & 31)::INT + 1, 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top = page_id THEN NULL ELSE top END AS refers_to FROM d
+"""
+QUERIES = {"op6_warc": (op6_warc, SQL)}
