@@ -116,7 +116,7 @@ def mask_spans(text: Column, code_keys: Column | None = None) -> Column:
     ``code_keys`` is an array of code keys that are protected in any case. Every step is linear in the text.
     """
     state = F.struct(text.alias("masked"), F.array().cast("array<string>").alias("kept"))
-    for pattern in (LABEL, PAGE_REFERENCE, QUANTITY):
+    for pattern in (LABEL, PAGE_REFERENCE, QUANTITY, HOLE):  # a text's own U+FFFF is kept like a protected span
         state = _apply(state, _number_spans(pattern))
     return _apply(state, lambda s: _number_codes(s, code_keys))
 

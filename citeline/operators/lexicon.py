@@ -116,6 +116,10 @@ def named_models(
 
 
 def model_manuals(manuals: DataFrame) -> DataFrame:
-    """(model, manual_id) from each manual's list of models; the last manual listing a model wins."""
-    listed = manuals.select(F.col("id").alias("manual_id"), F.explode("models").alias("m"))
-    return listed.groupBy(F.upper("m").alias("model")).agg(F.max("manual_id").alias("manual_id"))
+    """(model, manual_id) from each manual's list of models; the last manual listing a model wins.
+
+    The order is that of the column ``ord``, the place in the registry, where the table has it, then that of the ids.
+    """
+    place = F.struct("ord", "id") if "ord" in manuals.columns else F.struct("id")
+    listed = manuals.select(F.col("id").alias("manual_id"), place.alias("place"), F.explode("models").alias("m"))
+    return listed.groupBy(F.upper("m").alias("model")).agg(F.max_by("manual_id", "place").alias("manual_id"))

@@ -31,6 +31,7 @@ NO_CAUSES = "no probable causes returned"
 NO_ISOLATION = "steps require isolation but no safety warning cites a safety source"
 DECLINED = "The retrieved manual passages do not cover this problem well enough to name a cause."
 TELEMETRY_NOTE = "Telemetry is context only: causes and actions must still come from the SOURCES."
+NO_ANSWER = "The language model could not produce an answer."
 SCHEMA_VIOLATION = "schema: the answer does not follow the answer schema"
 
 ANSWER = (
@@ -211,7 +212,28 @@ def parse_answers(raw: DataFrame, column: str = "answer_json") -> DataFrame:
         & ~F.exists(a["corrective_actions"], lambda x: x["action"].isNull() | x["requires_isolation"].isNull() | x["source_ids"].isNull())
         & ~F.exists(a["safety_warnings"], lambda x: x["text"].isNull() | x["source_ids"].isNull())
     )
-    return parsed.withColumn("schema_ok", F.coalesce(whole, F.lit(False)))
+    return parsed.withColumn("schema_ok", F.coalesce(whole & _texts_are_strings(F.col(column)), F.lit(False)))
+
+
+def _texts_are_strings(json: Column) -> Column:
+    """The text fields hold JSON strings and the id lists only strings; a parsed struct no longer shows it."""
+    whole = F.try_parse_json(json)
+    is_text = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+
+    def items(field: str, *texts: str) -> Column:
+        def right(x: Column) -> Column:
+            ids = F.try_variant_get(x, "$.source_ids", "array<variant>")
+            ok = F.forall(ids, lambda i: F.coalesce(F.schema_of_variant(i) == "STRING", F.lit(False)))
+            for name in texts:
+                ok = ok & is_text(x, f"$.{name}")
+            return F.coalesce(ok, F.lit(False))
+
+        return F.forall(F.try_variant_get(whole, f"$.{field}", "array<variant>"), right)
+
+    return (
+        is_text(whole, "$.status") & is_text(whole, "$.insufficient_reason") & items("probable_causes", "cause", "fault_code")
+        & items("corrective_actions", "action") & items("safety_warnings", "text")
+    )
 
 
 def answer_items(answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -260,7 +282,7 @@ def text_mentions(texts: DataFrame, item: list[str], text: str = "text") -> Data
     forms = F.when(plural, F.array("identifier", F.expr("left(identifier, length(identifier) - 1)"))).otherwise(F.array("identifier"))
     tokens = tokens.where(~F.col("identifier").rlike(SOURCE_ID)).withColumn("forms", forms)
     tokens = tokens.where(~F.exists("forms", lambda f: F.upper(f).isin(*GENERIC_TERMS))).select(
-        *item, (F.col("at") + 1_000_000).alias("at"), "identifier", F.transform("forms", token_spelling).alias("spellings")
+        *item, (F.col("at") + F.lit(1 << 32)).alias("at"), "identifier", F.transform("forms", token_spelling).alias("spellings")
     )
     return labels.unionByName(tokens)
 
@@ -365,10 +387,11 @@ def audit_answers(
 
 
 def decide(audited: DataFrame, attempts: int = 2) -> DataFrame:
-    """One row per question: the first clean attempt, or the reason to escalate.
+    """One row per question: the first clean attempt, the reason to escalate, or what to repair in the next attempt.
 
-    ``audited``: query_id, attempt, violations, answer. Result: query_id, attempt, answer, reason (NULL = answered),
-    first_pass_violations, final_violations.
+    ``audited``: query_id, attempt, violations, answer. Result: query_id, attempt, answer, reason (NULL = answered or to
+    be asked again), first_pass_violations, final_violations, declined_note, repair (the violations as a list, only
+    where no attempt was clean and attempts are left).
     """
     within = audited.where(F.col("attempt") <= attempts)
     clean = F.size("violations") == 0
@@ -381,7 +404,8 @@ def decide(audited: DataFrame, attempts: int = 2) -> DataFrame:
         F.lit("The drafted answer failed the grounding checks twice: "),
         F.array_join(F.slice("last.violations", 1, 3), "; "), F.lit("."),
     )
-    reason = F.when(F.col("good").isNull(), failed).when(
+    again = F.col("good").isNull() & (F.col("last.attempt") < attempts)
+    reason = F.when(F.col("good").isNull() & ~again, failed).when(
         F.col("good.answer.status") == "insufficient_evidence", F.lit(DECLINED)
     )
     return per_query.select(
@@ -389,6 +413,7 @@ def decide(audited: DataFrame, attempts: int = 2) -> DataFrame:
         reason.alias("reason"), "first_pass_violations",
         F.coalesce("good.violations", "last.violations").alias("final_violations"),
         F.when(reason == DECLINED, F.col("good.answer.insufficient_reason")).alias("declined_note"),
+        F.when(again, F.array_join(F.transform("last.violations", lambda v: F.concat(F.lit("- "), v)), "\n")).alias("repair"),
     )
 
 
@@ -403,7 +428,7 @@ def assemble_answers(decided: DataFrame, retrieval: DataFrame, sources: DataFram
 
     ``retrieval``: query_id, has_code, top_score.
     """
-    answered = decided.where("reason is null").join(retrieval, "query_id")
+    answered = decided.where("reason is null and answer is not null").join(retrieval, "query_id")
     refs = sources.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "source_id", F.struct("source_id", "manual_id", "title", F.col("page_start").alias("page"))
     ))).alias("refs"))

@@ -152,21 +152,27 @@ def vector_topk(
                     left, right = np.zeros((len(left), 1)), np.zeros((len(right), 1))
                 scores = _cosine(left, right)
                 q_ids, p_ids = np.array(row.q_ids, dtype=object), np.array(row.ids, dtype=object)
+                order = np.array(sorted(range(len(p_ids)), key=lambda n: (p_ids[n] is not None, p_ids[n])), dtype=int)
+                p_ids, scores = p_ids[order], scores[:, order]
                 if scoped:
-                    manuals = np.array(row.manual_id, dtype=object)
-                    for n, allowed in enumerate(row.q_scope):
-                        if allowed is not None:
-                            scores[n, ~np.isin(manuals, list(allowed))] = -np.inf
+                    codes, names = pd.factorize(np.array(row.manual_id, dtype=object)[order])
+                    place = {name: n for n, name in enumerate(names)}
+                    allowed = np.zeros((len(q_ids), len(names) + 1), bool)  # code -1, no manual, is the last column
+                    for n, scope in enumerate(row.q_scope):
+                        allowed[n, slice(None) if scope is None else [place[m] for m in scope if m in place]] = True
+                    scores[~allowed[:, codes]] = -np.inf
                 for lane in lanes:
                     pool = np.arange(len(p_ids))
                     if lane.kind:
-                        pool = np.flatnonzero(np.array(row.kind, dtype=object) == lane.kind)
+                        pool = np.flatnonzero(np.array(row.kind, dtype=object)[order] == lane.kind)
                     if not len(pool):
                         continue
                     part = scores[:, pool]
                     depth = min(lane.k, len(pool))
                     edge = np.partition(part, len(pool) - depth, axis=1)[:, len(pool) - depth]
-                    qs, ps = np.nonzero((part >= edge[:, None]) & np.isfinite(part))  # ties at the edge stay
+                    above, ties = part > edge[:, None], part == edge[:, None]
+                    room = depth - above.sum(axis=1, keepdims=True)  # passages ascend by id: the first ties get it
+                    qs, ps = np.nonzero((above | (ties & (ties.cumsum(axis=1) <= room))) & np.isfinite(part))
                     yield pd.DataFrame({
                         question_id: q_ids[qs], "lane": lane.name, passage_id: p_ids[pool[ps]], "score": part[qs, ps],
                     })

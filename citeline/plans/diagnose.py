@@ -22,7 +22,7 @@ class Prepared:
 
     questions: DataFrame  # accepted and covered, with scope
     rejected: DataFrame  # invalid reports and unknown machines, with a reason
-    uncovered: DataFrame  # (query_id, reason): only models without a manual were named
+    uncovered: DataFrame  # (query_id, text, machine_id, reason): only models without a manual were named
     retrieval: Retrieval
     sources: DataFrame
     state: DataFrame  # (query_id, has_code, top_score, gate_reason)
@@ -41,7 +41,7 @@ def prepare(
     scoped, uncovered, unknown = triage.resolve_scope(valid, machines, named, lexicon.model_manuals(manuals))
     questions = settle(scoped, "questions")
     coverage = F.lit(triage.coverage_text(manuals).first()["coverage"])  # one sentence naming the registered manuals
-    uncovered = uncovered.select("query_id", triage.uncovered_reason(F.col("models"), coverage).alias("reason"))
+    uncovered = uncovered.select("query_id", "text", "machine_id", triage.uncovered_reason(F.col("models"), coverage).alias("reason"))
     rejected = invalid.select("query_id", "reason").unionByName(unknown.select("query_id", F.lit("unknown machine").alias("reason")))
     found = retrieve(questions, passages, fault_codes, **options)
     sources = settle(triage.number_sources(found.ranked, passages, manuals, questions.select("query_id", "scope")), "sources")
@@ -62,9 +62,20 @@ def prepare(
     return Prepared(questions, rejected, uncovered, found, sources, state, contexts)
 
 
-def judge(prepared: Prepared, answers: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answered, escalated, decided). ``answers``: query_id, attempt, answer_json; ``known`` as in
-    ``lexicon.known_identifiers``."""
+@dataclass
+class Judged:
+    """Every question of ``Prepared`` (covered or not) is in exactly one of the first three tables."""
+
+    answered: DataFrame
+    escalated: DataFrame
+    retry: DataFrame  # (query_id, attempt, repair): ask once more, with the violations to repair
+    decided: DataFrame  # one row per question the model answered
+
+
+def judge(prepared: Prepared, answers: DataFrame, known: DataFrame, last: bool = False) -> Judged:
+    """Outcomes of all questions. ``answers``: query_id, attempt, answer_json; ``known`` as in
+    ``lexicon.known_identifiers``. Questions the model gave nothing for escalate; so do those without a second attempt
+    if this is the ``last`` call."""
     asked = answers.join(prepared.state.where("gate_reason is null"), "query_id", "left_semi")
     parsed = settle(triage.parse_answers(asked), "parsed")
     audited = triage.audit_answers(parsed, prepared.sources, known).join(
@@ -72,9 +83,16 @@ def judge(prepared: Prepared, answers: DataFrame, known: DataFrame) -> tuple[Dat
     )
     decided = settle(triage.decide(audited), "decided")
     answered = triage.assemble_answers(decided, prepared.state, prepared.sources)
+    retry = decided.where("repair is not null").select("query_id", (F.col("attempt") + 1).alias("attempt"), "repair")
+    silent = prepared.state.where("gate_reason is null").join(decided, "query_id", "left_anti").select("query_id")
+    if last:
+        silent, retry = silent.unionByName(retry.select("query_id")), retry.limit(0)
     reasons = (
         decided.where("reason is not null").select("query_id", "reason")
+        .unionByName(silent.withColumn("reason", F.lit(triage.NO_ANSWER)))
+        .unionByName(prepared.uncovered.select("query_id", "reason"))
         .unionByName(prepared.state.where("gate_reason is not null").select("query_id", F.col("gate_reason").alias("reason")))
     )
-    escalated = triage.escalations(reasons, prepared.questions, prepared.retrieval.matches, prepared.sources)
-    return answered, escalated, decided
+    reported = prepared.questions.select("query_id", "text", "machine_id").unionByName(prepared.uncovered.drop("reason"))
+    escalated = triage.escalations(reasons, reported, prepared.retrieval.matches, prepared.sources)
+    return Judged(answered, escalated, retry, decided)

@@ -34,9 +34,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where nothing is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only in local mode where nothing is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="citeline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
