@@ -163,18 +163,19 @@ def build_contexts(
     ``questions``: query_id, text [, machine]; ``code_lines``: query_id, ord, line; ``readings``: query_id, ts,
     signal, value, unit.
     """
-    quoted = lambda c: F.replace(c, F.lit('"'), F.lit("'"))
+    known = lambda name: F.coalesce(F.col(name), F.lit(""))  # a missing heading or family leaves the source in place
+    quoted = lambda name: F.replace(known(name), F.lit('"'), F.lit("'"))
     pages = F.when(F.col("page_start") == F.col("page_end"), F.format_string("p.%d", "page_start")).otherwise(
         F.format_string("pp.%d-%d", "page_start", "page_end")
     )
     many = F.size(F.coalesce("models", F.array().cast("array<string>"))) > 0
     model = F.when(many, F.concat(F.lit('models="'), F.array_join("models", ", "), F.lit('"'))).otherwise(
-        F.concat(F.lit('model="'), F.col("family"), F.lit('"'))
+        F.concat(F.lit('model="'), known("family"), F.lit('"'))
     )
     block = F.concat(
-        F.lit('<source id="'), F.col("source_id"), F.lit('" '), model, F.lit(' manual="'), quoted(F.col("title")),
-        F.lit('" pages="'), pages, F.lit('" kind="'), F.col("kind"), F.lit('" section="'), quoted(F.col("heading")),
-        F.lit('">\n'), F.col("text"), F.lit("\n</source>"),
+        F.lit('<source id="'), F.col("source_id"), F.lit('" '), model, F.lit(' manual="'), quoted("title"),
+        F.lit('" pages="'), pages, F.lit('" kind="'), F.col("kind"), F.lit('" section="'), quoted("heading"),
+        F.lit('">\n'), known("text"), F.lit("\n</source>"),
     )
     blocks = sources.withColumn("block", block).groupBy("query_id").agg(F.array_join(_ordered("n", "block"), "\n\n").alias("blocks"))
     joined = questions.join(blocks, "query_id", "left")

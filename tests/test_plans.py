@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from citeline.operators import evaluate as E, lexicon
+from citeline.operators import evaluate as E, lexicon, triage
 from citeline.plans.diagnose import judge, prepare
 from citeline.plans.evaluate import score_answers, score_retrieval
 from citeline.sources.registry import MANUALS, SCENARIOS
@@ -31,9 +31,17 @@ def test_reports_to_scored_answers(spark):
     bad = good | {"probable_causes": [good["probable_causes"][0] | {"fault_code": "ZZ9Z"}]}
     answers = spark.createDataFrame([("a", 1, json.dumps(bad)), ("a", 2, json.dumps(good)), ("d", 1, json.dumps(bad)), ("d", 2, "{")], "query_id string, attempt int, answer_json string")
     known = lexicon.known_identifiers(spark.createDataFrame([("m1", "fault", "OHF")], "manual_id string, kind string, code_key string"))
-    answered, escalated, decided = judge(ready, answers, known)
+    first = judge(ready, answers.where("attempt = 1"), known)
+    assert sorted((r.query_id, r.attempt) for r in first.retry.collect()) == [("a", 2), ("d", 2)] and first.answered.count() == 0
+    assert all("unknown identifier ZZ9Z" in r.repair for r in first.retry.collect())
+    assert {r.query_id: r.reason for r in first.escalated.collect()}.keys() == {"b", "c"}
+    ended = judge(ready, answers.where("query_id = 'a' and attempt = 1"), known, last=True)  # d was never answered
+    reasons = {r.query_id: r.reason for r in ended.escalated.collect()}
+    assert reasons.keys() == {"a", "b", "c", "d"} and reasons["a"] == reasons["d"] == triage.NO_ANSWER and ended.retry.count() == 0
+    judged = judge(ready, answers, known)
+    answered, escalated, decided = judged.answered, judged.escalated, judged.decided
     assert [r.query_id for r in answered.collect()] == ["a"]
-    assert {r.query_id for r in escalated.collect()} == {"b", "d"}
+    assert {r.query_id for r in escalated.collect()} == {"b", "c", "d"}
 
     spec = lambda i, t, behavior, codes, sources: (i, t, "q", None, behavior, codes, ["x"], sources, False, "", "", "")
     scenarios = spark.createDataFrame([spec("a", "fault_code", "diagnose", ["0HF"], [("m1", [10])]), spec("b", "out_of_scope", "escalate", [], []),

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from citeline.operators import search
@@ -6,82 +7,96 @@ from citeline.plans.retrieve import joined_scores, retrieve
 
 FAULTS = "manual_id string, code string, code_key string, name string, page int, chunk_id string"
 PASSAGES = "passage_id string, manual_id string, kind string, heading string, text string"
+CODES = [("loom", "WBK"), ("loom", "W-7"), ("loom", "L10"), ("loom", "SO5"), ("dobby", "L10"), ("dobby", "LI0")]
 
 
-def fault(code, manual="m600"):
-    return (manual, code, code.upper(), f"name {code}", 1, f"{manual}:f:{code.upper()}")
+def code_rows(codes):
+    return [(m, c, c, f"{c} alarm", 40, f"{m}:f:{c}") for m, c in codes]
 
 
-def detected(spark, texts, faults, scope=None):
-    asked = spark.createDataFrame([(n, t, scope) for n, t in enumerate(texts)], "query_id int, text string, scope array<string>")
-    index = search.code_index(spark.createDataFrame(faults, FAULTS))
-    out = [[] for _ in texts]
-    for r in search.detect_codes(asked, index).orderBy("query_id", "ord").collect():
-        out[r.query_id].append((r.manual_id, r.code, r.fuzzy))
-    return out
+ASKED = {  # question, scope -> (manual, code, is a look-alike)
+    ("WBK again", None): [("loom", "WBK", False)],
+    ("shows S05.", None): [("loom", "SO5", True)],
+    ("L10 since noon", None): [("dobby", "L10", False), ("loom", "L10", False)],  # an exact code hides look-alikes of its manual
+    ("LIO since noon", None): [("dobby", "L10", True), ("dobby", "LI0", True), ("loom", "L10", True)],
+    ("L10 since noon", ("loom",)): [("loom", "L10", False)],
+    ("W 7 lamp, W-7", None): [("loom", "W-7", False)],
+    ("nothing woven", None): [],
+}
 
 
-def test_detection(spark):
-    faults = [fault("OHF"), fault("OLF"), fault("SCF1"), fault("INF0"), fault("INF1", "m320"), fault("INF1", "m900"), fault("InFI", "m12"), fault("INFI", "m900")]
-    got = detected(spark, [
-        "Drive shows OHF.", "(0hf) again", "0LF on the pump", "XQZ7 on the pump", "fan says InF1", "Need some info: pump trips",
-        "Info please", "display shows INFO", "OHF-fault on the pump", "drive shows SCF 1",
-    ], faults)
-    one = lambda code, fuzzy: [("m600", code, fuzzy)]
-    assert got[:4] == [one("OHF", False), one("OHF", True), one("OLF", True), []]
-    assert got[4] == [("m320", "INF1", False), ("m900", "INF1", False), ("m12", "InFI", True)]
-    assert got[5:] == [[], [], one("INF0", True), one("OHF", False), one("SCF1", False)]
-    assert detected(spark, ["InF1"], faults, scope=["m320"]) == [[("m320", "INF1", False)]]
+def test_codes_in_questions(spark):
+    rows = [(n, text, list(scope) if scope else None) for n, (text, scope) in enumerate(ASKED)]
+    index = search.code_index(spark.createDataFrame(code_rows(CODES), FAULTS))
+    hits = search.detect_codes(spark.createDataFrame(rows, "query_id int, text string, scope array<string>"), index).collect()
+    assert [sorted((r.manual_id, r.code, r.fuzzy) for r in hits if r.query_id == n) for n in range(len(ASKED))] == list(ASKED.values())
 
 
-def test_fusion(spark):
-    rows = [("q", lane, pos, item) for lane, items in enumerate(["abc", "cad"]) for pos, item in enumerate(items, 1)]
-    fused = search.fuse(spark.createDataFrame(rows, "query_id string, lane_no int, rank int, passage_id string"))
-    assert [r.passage_id for r in fused.orderBy("fused_pos").collect()] == ["a", "c", "b", "d"]
+def test_fusion_sums_reciprocal_ranks(spark):
+    lanes = {0: [5, 1, 9], 1: [9, 2], 2: [2, 9]}
+    rows = [("q", lane, rank, item) for lane, items in lanes.items() for rank, item in enumerate(items, 1)]
+    fused = search.fuse(spark.createDataFrame(rows, "query_id string, lane_no int, rank int, passage_id int")).orderBy("fused_pos").collect()
+    total = {i: sum(1 / (60 + items.index(i) + 1) for items in lanes.values() if i in items) for i in (1, 2, 5, 9)}
+    assert [r.passage_id for r in fused] == sorted(total, key=total.get, reverse=True)
 
 
 def test_pool_slots_and_pins(spark):
-    fused = spark.createDataFrame([("q", f"p{n}", n) for n in range(1, 8)], "query_id string, passage_id string, fused_pos int")
-    exact = spark.createDataFrame([("q", "p1", 1, "OHF")], "query_id string, passage_id string, ord int, code string")
-    reserved = spark.createDataFrame([("q", "p7", 1), ("q", "p3", 2)], "query_id string, passage_id string, slot int")
-    pool = search.candidate_pool(fused, exact, reserved, cap=4)
-    assert sorted(r.passage_id for r in pool.collect()) == ["p2", "p3", "p4", "p5", "p7"]
-    scored = pool.withColumn("score", F.when(F.col("passage_id") == "p5", 0.9).otherwise(0.5))
-    placed = search.place_slots(scored)
-    assert [r.passage_id for r in placed.orderBy("pos").collect()] == ["p5", "p2", "p7", "p3", "p4"]
-    final = search.pin_exact(exact, placed, top_k=3).orderBy("pos").collect()
-    assert [(r.passage_id, r.score, r.code) for r in final] == [("p1", 1.0, "OHF"), ("p5", 0.9, None), ("p2", 0.5, None)]
+    frame = spark.createDataFrame
+    fused = frame([(7, n, n) for n in range(11, 20)], "query_id int, passage_id int, fused_pos int").withColumn("fused_pos", F.col("fused_pos") - 10)
+    exact = frame([(7, 12, 1, "WBK"), (7, 50, 2, "W-7")], "query_id int, passage_id int, ord int, code string")
+    reserved = frame([(7, 19, 1)], "query_id int, passage_id int, slot int")
+    pool = search.candidate_pool(fused, exact, reserved, cap=3)
+    assert sorted(r.passage_id for r in pool.collect()) == [11, 13, 14, 19]
+    slots = search.place_slots(pool.withColumn("score", F.col("passage_id") % 10 / 10.0 * F.when(F.col("passage_id") < 19, 1.0).otherwise(0.0)))
+    order = [r.passage_id for r in slots.orderBy("pos").collect()]
+    assert sorted(order) == [11, 13, 14, 19] and [p for p in order if p != 19] == [14, 13, 11]
+    final = search.pin_exact(exact, slots, top_k=4).orderBy("pos").collect()
+    assert [(r.passage_id, r.code) for r in final[:2]] == [(12, "WBK"), (50, "W-7")] and len(final) == 4
 
 
 def test_vectors(spark):
-    vecs = spark.createDataFrame([("a", [1.0, 0.0], "m1", "fault"), ("b", [1.0, 0.0], "m2", "section"), ("c", [0.0, 1.0], "m1", "section"), ("z", [0.0, 0.0], "m1", "fault")],
-                                 "passage_id string, vector array<double>, manual_id string, kind string")
-    asked = spark.createDataFrame([("q", [1.0, 1.0], None), ("s", [0.0, 2.0], ["m2"])], "query_id string, vector array<double>, scope array<string>")
-    found = vector_topk(asked, vecs, [Lane("vector", 2), Lane("fault", 1, "fault")]).orderBy("query_id", "lane", "rank").collect()
-    assert [(r.query_id, r.lane, r.passage_id, round(r.score, 3)) for r in found] == [
-        ("q", "fault", "a", 0.707), ("q", "vector", "a", 0.707), ("q", "vector", "b", 0.707), ("s", "vector", "b", 0.0)
+    at = lambda i, v, m, k: (i, v, m, k)
+    known = [at(1, [3.0, 4.0], "loom", "section"), at(2, [4.0, 3.0], "loom", "fault"), at(3, [0.0, 1.0], "dobby", "fault"), at(4, [0.0, 0.0], None, "section")]
+    passages = spark.createDataFrame(known, "passage_id int, vector array<double>, manual_id string, kind string")
+    asked = spark.createDataFrame([("up", [0.0, 2.0], None), ("in", [0.0, 5.0], ["loom", "none"]), ("out", [1.0, 0.0], [])], "query_id string, vector array<double>, scope array<string>")
+    rows = vector_topk(asked, passages, [Lane("all", 2), Lane("faults", 1, "fault")]).orderBy("query_id", "lane", "rank").collect()
+    assert [(r.query_id, r.lane, r.passage_id, round(r.score, 6)) for r in rows] == [
+        ("in", "all", 1, 0.8), ("in", "all", 2, 0.6), ("in", "faults", 2, 0.6), ("up", "all", 3, 1.0), ("up", "all", 1, 0.8), ("up", "faults", 3, 1.0),
     ]
-    texts = spark.createDataFrame([(1, "Heat heat FAN"), (2, "--")], "id int, text string")
-    assert sorted(r.n for r in hash_counts(texts, "id", "text").collect()) == [1, 2]
 
 
-def test_hybrid_retrieval(spark):
-    """Reranking, the cut, pins, and the fault lane, end to end on a small collection."""
-    rows = [("s1", "m", "section", "", "fan ventilation heat"), ("s2", "m", "section", "", "modbus link"),
-            ("s3", "m", "section", "", "heat sink cleaning"), ("m600:f:OHF", "m600", "fault", "", "device overheating")]
-    asked = spark.createDataFrame([("a", "heat fan", None, None), ("b", "Drive shows OHF.", "never searched", None), ("c", "pump is hot", "heat sink", None), ("d", "pump pH", None, "phf ohf")],
+@pytest.mark.parametrize("k", [1, 7, 100])
+def test_ties_leave_a_pack_as_k_rows(spark, k):
+    """A zero vector is as near to every passage as to any other: the smallest identifiers stay."""
+    passages = spark.range(90).select(F.format_string("p%02d", (F.col("id") * 37) % 90).alias("passage_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    asked = spark.createDataFrame([("zero", [0.0, 0.0])], "query_id string, vector array<double>")
+    rows = vector_topk(asked, passages, [Lane("all", k)]).orderBy("rank").collect()
+    assert [r.passage_id for r in rows] == [f"p{n:02d}" for n in range(min(k, 90))] and {r.score for r in rows} == {0.0}
+
+
+def test_hashing_counts_words(spark):
+    texts = spark.createDataFrame([(1, "Reed reed, REED and warp"), (2, "?!")], "id int, text string")
+    assert sum(r.n for r in hash_counts(texts, "id", "text").where("id = 1").collect()) == 5
+
+
+def test_retrieval_of_a_small_collection(spark):
+    """Reranking, the cut, pins, rewrites and code texts, end to end."""
+    rows = [("loom:s1", "loom", "section", "", "reed wire bent"), ("loom:s2", "loom", "section", "", "wire gauge table"), ("loom:s3", "loom", "section", "", "order form"),
+            ("loom:f:WBK", "loom", "fault", "", "warp broken")]
+    asked = spark.createDataFrame([("plain", "reed wire", None, None), ("coded", "WBK today", "unused words", None), ("rewritten", "it stopped", "gauge table", None), ("foreign", "warp", None, "WBK")],
                                   "query_id string, text string, rewrite string, code_text string")
-    out = retrieve(asked, spark.createDataFrame(rows, PASSAGES), spark.createDataFrame([fault("OHF")], FAULTS), top_k=2)
-    got = {}
+    out = retrieve(asked, spark.createDataFrame(rows, PASSAGES), spark.createDataFrame(code_rows(CODES[:1]), FAULTS), top_k=2)
+    ranked = {}
     for r in out.ranked.orderBy("query_id", "pos").collect():
-        got.setdefault(r.query_id, []).append((r.passage_id, round(r.score, 2), r.code))
-    assert got["a"] == [("s1", 1.0, None), ("s3", 0.5, None)]
-    assert got["b"][0] == ("m600:f:OHF", 1.0, "OHF") and len(got["b"]) == 2
-    assert got["c"][0] == ("s3", 1.0, None)
-    assert got["d"][0] == ("m600:f:OHF", 1.0, "OHF")
+        ranked.setdefault(r.query_id, []).append((r.passage_id, r.code))
+    assert ranked["plain"] == [("loom:s1", None), ("loom:s2", None)] and ranked["rewritten"][0] == ("loom:s2", None)
+    assert ranked["coded"][0] == ranked["foreign"][0] == ("loom:f:WBK", "WBK") and max(map(len, ranked.values())) == 2
     texts = {(r.query_id, r.variant): r.search_text for r in out.searches.collect()}
-    assert texts[("c", 1)] == "heat sink" and ("b", 1) not in texts
-    assert {r.query_id: r.top_score for r in out.top.collect()}["a"] == 1.0
-    scores = spark.createDataFrame([("q", "x", 0.7)], "query_id string, passage_id string, score double")
-    pool = spark.createDataFrame([("q", "x"), ("q", "y")], "query_id string, passage_id string")
-    assert {r.passage_id: r.score for r in joined_scores(scores)(pool, None).collect()} == {"x": 0.7, "y": 0.0}
+    assert texts[("rewritten", 1)] == "gauge table" and ("coded", 1) not in texts
+    assert {r.query_id: r.top_score for r in out.top.collect()}["plain"] == 1.0
+
+
+def test_scores_from_a_table(spark):
+    given = spark.createDataFrame([(1, 10, 0.25)], "query_id int, passage_id int, score double")
+    pool = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "query_id int, passage_id int")
+    assert {(r.query_id, r.passage_id): r.score for r in joined_scores(given)(pool, None).collect()} == {(1, 10): 0.25, (1, 11): 0.0, (2, 10): 0.0}
