@@ -336,6 +336,21 @@ def test_jaccard_join(corpus, block, monkeypatch):
     assert block == 3 or jaccard_join.join(empty(corpus)).count() == 0
 
 
+def test_jaccard_join_in_a_large_block(spark, monkeypatch):
+    """Near copies of one text, chains beside them and documents that share only some shingles, cut into many slices."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 5)
+    rnd = random.Random(8)
+    base = [f"w{n}" for n in range(60)]
+    rows = [(n, " ".join(base[:-1] + [f"end{n}"])) for n in range(60)]
+    for chain in range(3):  # every text links with the next one only
+        rows += [(100 * (chain + 1) + n, " ".join(base[4 * n:] + [f"c{chain}x{k}" for k in range(4 * n)])) for n in range(12)]
+    rows += [(500 + n, " ".join(base[:20] + [f"r{rnd.randrange(90)}" for _ in range(30)])) for n in range(30)]
+    rnd.shuffle(rows)
+    want = components(rows)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) < 80
+
+
 def test_divide_skip_finds_all():
     rnd = random.Random(4)
     base = [rnd.sample(range(200), 40) for _ in range(4)]
