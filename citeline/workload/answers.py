@@ -131,14 +131,15 @@ from o"""
 
 
 def confidence_cap(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    """Every document; one without labels counts as unrecognised with no retrieval strength."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").fillna(0, ["toxic", "quality"])
     conf = F.sqrt(F.col("n_chars").cast("double")) / 100 - 0.1
     capped = triage.capped_confidence(conf, F.col("toxic") == 1, F.col("quality") * 0.437)
     return rows.select("doc_id", capped.alias("confidence"))
 
 
 CONFIDENCE_SQL = """select doc_id, round_even(least(greatest(sqrt(n_chars) / 100 - 0.1, 0), 1, case when toxic = 1 then 1.0::double
-  else quality * 0.437::double end), 2) as confidence from documents join labels using (doc_id)"""
+  else coalesce(quality, 0) * 0.437::double end), 2) as confidence from documents left join labels using (doc_id)"""
 
 
 def validate_reports(spark: SparkSession, sf: str) -> DataFrame:
