@@ -14,6 +14,11 @@ def remainder(key: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def text_digest(column: str) -> Column:
+    """SHA-256 of a text's bytes; with the identifier it names a row, as an identifier may be null or stand with several texts."""
+    return F.unhex(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

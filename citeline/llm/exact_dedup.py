@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from citeline.llm.common import documents
 
@@ -221,10 +222,25 @@ def _entries(trie: Trie, ids: pa.DataType, whole: bool) -> Iterator[pa.RecordBat
         yield batch()
 
 
-def survivors(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows repeated under one identifier, one."""
-    kept = decided.where("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+def survivors(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns, one a group of equal texts.
+
+    Rows are told apart by identifier and text hash, so distinct texts under a null or shared identifier all stay. Of rows
+    equal in both, the one with most code points stays.
+    """
+
+    def sign(batches):
+        for batch in batches:
+            signs = pa.array([hashlib.sha256(b).digest() for b in normalised(batch.column(text))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, signs], names=[*batch.schema.names, "_sha"])
+
+    by = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_id"), F.col(key).isNull().alias("_none"), "_sha"]
+    signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField("_sha", BinaryType())]))
+    longest = F.struct(F.length(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(text))
+    # repeated rows leave their task once, and the join keeps the partitions of the grouping
+    rows = signed.groupBy(*by).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), longest).alias("_row"))
+    kept = decided.where("kept").withColumn("_sha", F.unhex("text_sha256")).select(*by).distinct()
+    return rows.join(kept, ["_id", "_none", "_sha"], "left_semi").select("_row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

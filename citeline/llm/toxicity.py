@@ -250,6 +250,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "tex
     return docs.select(key, column).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, column: str = "text", limit: float = 0.3) -> DataFrame:
+    """The rows that are not predicted to be toxic, with their columns; each row is decided by its own text."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch, column, model.lexicon)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     return train(docs.where(remainder("doc_id", 4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

@@ -31,6 +31,27 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_rows_without_or_with_one_identifier_are_decided_by_their_text(spark, tmp_path):
+    plain = lambda seed, n=40: " ".join(f"v{(seed * 7919 + k * k * 31 + k) % 997}" for k in range(n))
+    item, bad = plain(900, 30), " zorch, zorch grumbel!"
+    rows = [(i, plain(i)) for i in range(120)] + [(i, plain(i) + bad) for i in range(200, 240)]
+    rows += [(None, plain(301)), (None, plain(302) + bad), (None, plain(303) + " " + item)]  # clean, toxic, contaminated
+    rows += [(400, plain(304)), (400, plain(305) + bad), (400, plain(306) + " " + item), (400, plain(307))]  # clean, toxic, contaminated, clean
+    rows += [(401, plain(308)), (401, plain(7)), (401, plain(7)), (402, plain(309)), (402, plain(309).replace(" ", "  ")), (402, plain(8) + " more")]  # copies of 7 and 309, near 8
+    rows += [(403, plain(310) + " more"), (404, plain(310)), (403, plain(311)), (None, plain(301))]  # 404 is near the first text of 403
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i >= 200)) for i in (*range(120), *range(200, 240))], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {r for r in rows if bad not in (r[1] or "")}
+    gone = [set(), {(401, plain(7)), (402, plain(309))}, {(402, plain(8) + " more"), (404, plain(310))}, {(None, plain(303) + " " + item), (400, plain(306) + " " + item)}]
+    for (name, stage), out in zip(corpus_pipeline.STAGES, gone):
+        docs, left = stage(spark, docs, str(tmp_path)), left - out
+        found = [tuple(r) for r in docs.collect()]
+        assert set(found) == left, name
+        assert name == "toxicity" or len(found) == len(left), name
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() == len(left)
+
+
 def test_library_works_without_the_subpackage():
     entry = pytest.importorskip("__spark_entry__")
     assert "pipeline" in entry.queries() and "hybrid_retrieve" in entry.queries()
