@@ -274,6 +274,21 @@ def test_decontamination(spark, corpus):
     assert decontamination.find(empty(corpus), benchmark).count() == 0
 
 
+def test_decontamination_of_repeated_passages(spark):
+    x, y, z, noise, rest = ([f"{c}{i}" for i in range(n)] for c, n in (("x", 40), ("y", 40), ("z", 40), ("n", 50), ("r", 200)))
+    item, count = x + y + z, lambda w: collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    docs = [noise + z + y + z + y + x + rest, noise + z + y + x + rest, z + y + z + y + x, noise + z + y + z + y + rest]
+    want = []
+    for i, w in enumerate(docs):
+        pairs = [(count(w[s:s + 120]), count(item)) for s in range(max(len(w) - 120, 0) + 1)]
+        best = max(sum((a & b).values()) / sum((a | b).values()) for a, b in pairs)
+        want.append((i, best >= 0.75, round(best if best >= 0.75 else 0.0, 9)))
+    assert [w[1] for w in want] == [True, True, True, False] and round(want[0][2], 3) == 0.871
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    found = decontamination.find(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.contaminated, round(r.similarity, 9)) for r in found) == want
+
+
 def test_trie_moves_subtrees():
     rnd = random.Random(2)
     trie, want = exact_dedup.Trie(limit=3000), {}
