@@ -255,3 +255,6 @@ def repaired(rows: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with every damaged conversation, and its cheapest repair."""
     return repaired(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+QUERIES = {"op12_conversation_repair": (op12_conversation_repair, None)}

@@ -3,7 +3,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm_scoring", "exact_dedup", "token_counts", "jaccard_join", "decontamination", "packing", "toxicity", "language_id", "chat_format", "warc")
+MODULES = (
+    "lm_scoring", "exact_dedup", "token_counts", "jaccard_join", "decontamination", "packing", "toxicity", "language_id", "chat_format", "warc",
+    "prefix_trie", "repair", "secrets",
+)
 
 
 def registry() -> dict:
