@@ -3,9 +3,8 @@
 A node of the search is (rows decided, last role written). Its edits are Delete (3), Insert of an empty text (2), Keep (0) and Rerole to user or
 assistant (2); a truncated row that is not deleted adds 1, blank and duplicate rows can only be deleted, and the roles written must read as an
 optional system turn followed by pairs of user and assistant, or nothing. The stack is explicit. A node's bound is its cost plus a
-lower bound of the rows left: what every such row costs by itself (deletion of blank and duplicate rows, the mark of truncated ones, a new role for
-roles that fit nowhere and for all system turns but one that may still open) and one edit for each of a largest set of disjoint
-neighbours, the last role written and the end included, that cannot both stay as they are. The child of the least bound, then of the least
+lower bound of the rows left: the least cost they can have behind its last role, the order of audits aside, from one pass over the rows
+from the end. The bound is met, so the search branches only where prefixes tie. The child of the least bound, then of the least
 initial, is searched first. A table per (rows decided, last role) keeps the least (cost, edits so far); a later prefix that is not less is cut, as
 all its completions are. The incumbent is the least (cost, audit); a node whose bound is above its cost is cut, and the stack running
 empty proves it optimal. Prefixes are chains of edits, compared from their last common edit.
@@ -30,32 +29,29 @@ BLANK, DUPLICATE, TRUNCATED, FINE = 0, 1, 2, 3
 START, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3  # last role written
 AFTER = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (USER, "a"): ASSISTANT, (ASSISTANT, "u"): USER}
 NEXT = {START: "u", SYSTEM: "u", USER: "a", ASSISTANT: "u"}
+FAR = 1 << 40
 ROLES = {"u": "user", "a": "assistant"}
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _bounds(rows: list[tuple[str, int]]) -> list[tuple[int, int, bool]]:
-    """Per place: (costs of single rows left, disjoint pairs that cannot stay, whether a system turn is among the rows left); and one for the end.
-
-    A pair is two neighbours, rows to delete aside, of the same role among user and assistant, or a last user and the end. A system turn and a
-    role that fits nowhere break a pair, as their own edit is counted already.
-    """
-    found = [(0, 0, False)] * (len(rows) + 1)
-    single, opens, pairs, behind, near = 0, False, 0, 0, "u"  # pairs from the neighbour on, pairs behind the neighbour; the end acts as a user
-    for i in range(len(rows) - 1, -1, -1):
-        initial, fault = rows[i]
-        if fault in (BLANK, DUPLICATE):
-            single += 3
+def _bounds(rows: list[tuple[str, int]]) -> list[list[int]]:
+    """Per place and last role: the least cost of the rows left, whatever the edits' initials. One pass from the end; an insert leads on in its place."""
+    found: list[list[int]] = [[]] * (len(rows) + 1)
+    for i in range(len(rows), -1, -1):
+        if i == len(rows):
+            here = [0, FAR, FAR, 0]
         else:
-            single += fault == TRUNCATED
-            if initial in ROLES:
-                pairs, behind = max(pairs, behind + (initial == near)), pairs
-            else:
-                single += 2
-                opens |= initial == "s"
-                behind = pairs
-            near = initial
-        found[i] = (single, pairs, opens)
+            (initial, fault), after = rows[i], found[i + 1]
+            here = [cost + 3 for cost in after]
+            if fault not in (BLANK, DUPLICATE):
+                mark = int(fault == TRUNCATED)
+                for last in NEXT:
+                    here[last] = min(here[last], after[AFTER[last, NEXT[last]]] + 2 + mark)
+                    if (last, initial) in AFTER:
+                        here[last] = min(here[last], after[AFTER[last, initial]] + mark)
+        here[USER], here[ASSISTANT] = min(here[USER], here[ASSISTANT] + 2), min(here[ASSISTANT], here[USER] + 2)
+        here[START], here[SYSTEM] = (min(here[last], here[USER] + 2) for last in (START, SYSTEM))
+        found[i] = here
     return found
 
 
@@ -85,21 +81,7 @@ def _less(a: _Edit, b: _Edit) -> bool:
 
 def repair(rows: list[tuple[str, int]]) -> tuple[int, str]:
     """(cost, audit) of the cheapest repair of rows given as (initial of the role, fault); the ASCII-least of several."""
-    n, left = len(rows), _bounds(rows)
-    following = [None] * (n + 1)  # the first row from here on that may stay
-    first_pairs = [0] * (n + 1)  # pairs behind that row
-    follow, behind = "u", 0
-    for i in range(n, -1, -1):
-        if i < n and rows[i][1] not in (BLANK, DUPLICATE):
-            follow, behind = rows[i][0], left[i + 1][1]
-        following[i], first_pairs[i] = follow, behind
-
-    def bound(i: int, last: int) -> int:
-        single, pairs, opens = left[i]
-        if last == USER and following[i] == "u" or last == ASSISTANT and following[i] == "a" or last in (START, SYSTEM) and following[i] == "a":
-            pairs = max(pairs, first_pairs[i] + 1)
-        return single + 2 * pairs - 2 * (opens and last == START)
-
+    n, bound = len(rows), _bounds(rows)
     root = _Edit("", None)
     best: tuple[int, _Edit] | None = None
     table: list[dict[int, tuple[int, _Edit]]] = [{} for _ in range(n + 1)]
@@ -109,7 +91,7 @@ def repair(rows: list[tuple[str, int]]) -> tuple[int, str]:
         cost, i, last, edit = stack.pop()
         if table[i][last][1] is not edit:
             continue  # a better prefix came by
-        least = cost + bound(i, last)
+        least = cost + bound[i][last]
         if best is not None and least > best[0]:
             continue
         if i == n and last in (START, ASSISTANT):
@@ -124,7 +106,7 @@ def repair(rows: list[tuple[str, int]]) -> tuple[int, str]:
                 if (last, initial) in AFTER:
                     children.append(("K", mark, i + 1, AFTER[last, initial]))
                 children.append(("R", 2 + mark, i + 1, AFTER[last, NEXT[last]]))
-        ordered = sorted(((cost + more + bound(at, role), letter, cost + more, at, role) for letter, more, at, role in children), reverse=True)
+        ordered = sorted(((cost + more + bound[at][role], letter, cost + more, at, role) for letter, more, at, role in children), reverse=True)
         for least, letter, spent, at, role in ordered:  # the best child is pushed last and taken first
             if best is not None and least > best[0]:
                 continue
