@@ -1,7 +1,7 @@
 """Registered queries: contexts, answer audits, masking, translation and evaluation."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.text import detect_script
@@ -55,12 +55,13 @@ select query_id, length(context) as chars, md5(context) as digest from c"""
 
 
 def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every order, numbered within its order, as line numbers repeat."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
-    return table(spark, sf, "lineitem").join(part, "l_partkey").groupBy(
-        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("line")
-    ).agg(
-        F.min(F.struct("l_partkey", "l_returnflag", "p_name", "p_brand")).alias("p")
-    ).select("query_id", "line", F.col("p.l_partkey").alias("part"), "p.p_name", "p.p_brand", F.col("p.l_returnflag").alias("flag"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
+    return table(spark, sf, "lineitem").join(part, "l_partkey").select(
+        F.col("l_orderkey").alias("query_id"), F.row_number().over(order).alias("line"), F.col("l_partkey").alias("part"),
+        "p_name", "p_brand", F.col("l_returnflag").alias("flag"),
+    )
 
 
 def judge_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,8 +102,8 @@ def judge_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 JUDGE_SQL = f"""with {PARTS_CTE},
-l as (select l_orderkey as query_id, l_linenumber as line, l_partkey as part, l_returnflag as flag from lineitem join part on p_partkey = l_partkey
-  qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_returnflag) = 1),
+l as (select l_orderkey as query_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) as line,
+    l_partkey as part, l_returnflag as flag from lineitem join part on p_partkey = l_partkey),
 x as (select l.*, c.p_name as name, c.manual as brand, c.code, c.fold from l join c on c.p_partkey = l.part),
 q as (select distinct query_id from x),
 s as (select distinct x.query_id, c.fold from x join c on c.manual = x.brand where x.flag <> 'A'),

@@ -102,12 +102,11 @@ qualify row_number() over (partition by manual_id, kind, code_key order by o1, o
 
 
 def missing_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Per brand: codes expected (all parts) but not extracted (parts on returned lines at ten percent discount)."""
+    """Per brand: codes expected (all parts) but not extracted; extracted are parts whose lines ask for more than 25 pieces on average."""
     expected = part_codes(spark, sf).withColumnRenamed("manual_id", "doc_id")
-    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_discount = 0.1").select(
-        code_of(F.col("l_partkey")).alias("code_key")
-    )
-    extracted = expected.join(returned, "code_key", "left_semi").select("doc_id", "code_key", "code")
+    asked = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_quantity") - 25).alias("over"))
+    asked = asked.where("over > 0").select(code_of(F.col("l_partkey")).alias("code_key"))
+    extracted = expected.join(asked, "code_key", "left_semi").select("doc_id", "code_key", "code")
     lost = audit.missing_codes(expected, extracted)
     brands = table(spark, sf, "part").select(F.col("p_brand").alias("id")).distinct()
     faults = extracted.withColumnRenamed("doc_id", "manual_id")
@@ -119,7 +118,7 @@ def missing_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MISSING_SQL = f"""with {PARTS_CTE},
-seen as (select distinct {CODE_SQL.format(k='l_partkey')} as code from lineitem where l_returnflag = 'R' and l_discount = 0.1),
+seen as (select {CODE_SQL.format(k='l_partkey')} as code from lineitem group by l_partkey having sum(l_quantity - 25) > 0),
 r as (select manual, count(*) filter (where code in (select code from seen)) as got,
   count(*) filter (where code not in (select code from seen)) as missing from c group by manual)
 select manual as brand, got as fault_records, missing,
@@ -199,9 +198,9 @@ select query_id, string_agg(tok, ' ' order by place) as unknown from f group by
 
 
 def scope_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders name the brands of their lines with return flag A; brands with at least one promotion part have a manual."""
+    """Orders name the brands of their lines; brands whose parts are larger than 25 on average have a manual."""
     part = table(spark, sf, "part")
-    lines = table(spark, sf, "lineitem").where("l_returnflag = 'A'").join(
+    lines = table(spark, sf, "lineitem").join(
         part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"
     )
     words = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_brand"))), lambda x: x["p_brand"])
@@ -215,8 +214,8 @@ def scope_gate(spark: SparkSession, sf: str) -> DataFrame:
     machines = table(spark, sf, "customer").select(
         F.concat(F.lit("C"), F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("manual")
     )
-    manuals = part.where("p_type = 'PROMO' and p_size = 7").groupBy(F.col("p_brand").alias("id")).agg(
-        F.collect_set("p_brand").alias("models")
+    manuals = part.groupBy(F.col("p_brand").alias("id")).agg(F.sum(F.col("p_size") - 25).alias("over")).where("over > 0").select(
+        "id", F.array("id").alias("models")
     )
     models = lexicon.named_models(asked, [(r"(Brand)(#[0-9]+)", None)])
     scoped, uncovered, _ = triage.resolve_scope(asked, machines, models, lexicon.model_manuals(manuals))
@@ -230,10 +229,10 @@ def scope_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SCOPE_SQL = """with f as (select l_orderkey, string_agg(p_brand, ' and ' order by l_linenumber, p_brand) as brands,
-    list(p_brand order by l_linenumber, p_brand) as bs from lineitem join part on p_partkey = l_partkey where l_returnflag = 'A' group by 1),
+    list(p_brand order by l_linenumber, p_brand) as bs from lineitem join part on p_partkey = l_partkey group by 1),
 q as (select o_orderkey as query_id, o_orderstatus as st, o_custkey, o_totalprice / 500000 as top,
     case when o_orderstatus = 'F' or bs is null then [] else bs end as bs from orders left join f on l_orderkey = o_orderkey),
-m as (select distinct upper(p_brand) as model, p_brand as manual from part where p_type = 'PROMO' and p_size = 7),
+m as (select upper(p_brand) as model, p_brand as manual from part group by p_brand having sum(p_size - 25) > 0),
 n as (select query_id, list(b order by i) as models from (
     select query_id, upper(b) as b, min(i) as i from (select query_id, unnest(bs) as b, generate_subscripts(bs, 1) as i from q) group by 1, 2) group by 1),
 c as (select query_id, list(manual order by manual) as covered from (select distinct query_id, manual from

@@ -117,16 +117,14 @@ def asof_outline(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("doc_id"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")).alias("page"),
         F.col("o_orderkey").alias("ord"), F.concat_ws(" ", "o_orderpriority", F.lit("(continued)")).alias("title"),
     )
-    outline = orders.where(F.col("title").startswith("1-"))
-    found = R.section_of_pages(orders, outline)
+    found = R.section_of_pages(orders, orders)
     return found.select(F.col("doc_id").alias("custkey"), "page", "section")
 
 
 ASOF_OUTLINE_SQL = """with o as (select o_custkey as custkey, date_diff('day', date '1992-01-01', o_orderdate::date) as page,
     o_orderkey as ord, o_orderpriority as title from orders),
 p as (select distinct custkey, page from o)
-select custkey, page, coalesce((select arg_max(title, ord) from o where o.custkey = p.custkey and o.page <= p.page
-    and title like '1-%'), '') as section from p"""
+select custkey, page, coalesce((select arg_max(title, ord) from o where o.custkey = p.custkey and o.page <= p.page), '') as section from p"""
 
 
 def block_records(spark: SparkSession, sf: str) -> DataFrame:
