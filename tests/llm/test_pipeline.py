@@ -7,7 +7,7 @@ from citeline.llm.workload import registry
 
 def test_queries_are_registered():
     names = sorted(int(k[2:].split("_")[0]) for k in registry())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
