@@ -143,3 +143,15 @@ def unspell_markers(text: Column) -> Column:
     for name in sorted(SPELLED_LETTERS, key=len, reverse=True):
         text = F.regexp_replace(text, SPELLED_PREFIX + name + r"\.?", MARKER_PREFIX + SPELLED_LETTERS[name])
     return text
+
+
+def runs(found: Column) -> Column:
+    """(value, n) of the distinct values of an array, ascending, in the time of its sort; NULL or empty gives NULL."""
+    def cut(w: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        # ``transform`` over a single cell gives the array a name, so it is computed once a row.
+        return F.get(F.transform(F.array(opens), lambda at: F.transform(
+            at, lambda a, nth: F.struct(F.get(w, a).alias("value"), (F.coalesce(F.get(at, nth + 1), F.size(w)) - a).cast("long").alias("n"))
+        )), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(found)), lambda w: F.when(F.size(w) > 0, cut(w))), F.lit(0))

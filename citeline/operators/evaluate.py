@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import code_key, lookalike_key
+from citeline.session import settle
 
 # Thresholds, metric labels, compared outcome fields, percentiles.
 CAUSE_THRESHOLD = 0.65
@@ -156,30 +157,32 @@ def counts(results: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(
-    values: DataFrame, group: list[str], value: str, percents: list[int], bucket_width: float = 100.0
-) -> DataFrame:
-    """(group, p, value): the value at index round-half-even(p/100 * (n-1)) of the sorted values.
+def nearest_rank(values: DataFrame, group: list[str], value: str, percents: list[int]) -> DataFrame:
+    """(group, p, value): the value at index round-half-even(p/100 * (n-1)) of the sorted values; NULLs do not count.
 
-    Equal values are counted first; value buckets locate the index, and only the bucket that holds it is ordered.
+    Equal values are counted first. Ranges of (group, value) that Spark samples to be of like size bracket the index;
+    counts below a range are exact, and only the ranges that hold a wanted index are ordered, each in its own task.
     """
     tallies = values.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    tallies = tallies.withColumn("b", F.floor(F.col("v") / bucket_width))
-    buckets = tallies.groupBy(*group, "b").agg(F.sum("c").alias("c"))
+    # Written down, because both uses below must see the same ranges.
+    tallies = settle(tallies.repartitionByRange(*group, "v").withColumn("part", F.spark_partition_id()), "tallies")
+    ranges = tallies.groupBy(*group, "part").agg(F.sum("c").alias("c"))
     over = Window.partitionBy(*group)
-    upto = over.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = buckets.withColumns({"total": F.sum("c").over(over), "last": F.sum("c").over(upto)})
-    wanted = buckets.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents])))
+    upto = over.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.withColumns({"total": F.sum("c").over(over), "last": F.sum("c").over(upto)})
+    wanted = ranges.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents])))
     wanted = wanted.withColumn("at", F.bround(F.col("p") / 100.0 * (F.col("total") - 1)).cast("long"))
     wanted = wanted.where((F.col("at") < F.col("last")) & (F.col("at") >= F.col("last") - F.col("c"))).select(
-        *group, "b", "p", (F.col("at") - (F.col("last") - F.col("c"))).alias("inside")
-    )
-    inside = tallies.join(wanted, [*group, "b"])
-    run = Window.partitionBy(*group, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("last", F.sum("c").over(run))
-    return ranked.where((F.col("inside") < F.col("last")) & (F.col("inside") >= F.col("last") - F.col("c"))).select(
-        *group, "p", F.col("v").alias(value)
+        *group, "part", "p", (F.col("at") - (F.col("last") - F.col("c"))).alias("inside")
     )
+    # A range is ordered once for all percentiles that fall into it.
+    held = wanted.groupBy(*group, "part").agg(F.collect_list(F.struct("p", "inside")).alias("asked"))
+    held = held.select("asked", *[F.col(c).alias(f"__{c}") for c in [*group, "part"]])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, "part"]]  # a NULL in ``group`` is a group too
+    run = Window.partitionBy(*group, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = tallies.join(held, same).withColumn("last", F.sum("c").over(run))
+    hits = F.filter("asked", lambda a: (a["inside"] < F.col("last")) & (a["inside"] >= F.col("last") - F.col("c")))
+    return ranked.select(*group, F.col("v").alias(value), F.explode(hits).alias("hit")).select(*group, "hit.p", value)
 
 
 def percent_text(value: Column) -> Column:

@@ -10,6 +10,7 @@ from citeline.functions.identifiers import (
     lookalike_key, query_code_candidates, reads_like_display, token_key, words,
 )
 from citeline.functions.stopwords import STOP_WORDS
+from citeline.functions.text import runs
 from citeline.operators.scans import top_per_group
 
 # Weights of heading and body hits, fusion constant, and the depths of every cut.
@@ -100,27 +101,30 @@ def query_terms(questions: DataFrame, text: str = "text", question_id: str = "qu
 
 def postings(
     passages: DataFrame, only: DataFrame | None = None, heading: str | None = "heading", text: str = "text",
-    passage_id: str = "passage_id", carry: Sequence[str] = (), co_located: bool = False,
+    passage_id: str = "passage_id", carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(passage, carried columns, lexeme, heading_hits, body_hits). ``only`` limits the lexemes before counting.
+    """(passage, carried columns, lexeme, heading_hits, body_hits). ``only`` limits the lexemes.
 
-    Passages are shuffled once by id, as whole rows; counting lexemes here, summing hits per question and the local
-    cut to the top k in ``keyword_topk`` then all happen in that one stage. ``co_located`` skips the shuffle for
-    tables already bucketed by passage.
+    No text is shuffled. Without ``only`` the lexemes of a passage are counted inside its row, with two rows for a lexeme of
+    both heading and body; with it, each occurrence of a wanted lexeme is a row. Sums over (passage, lexeme) are whole
+    either way.
     """
-    placed = passages if co_located else passages.repartition(passage_id)
-    found = [lexemes(F.col(text))] + ([lexemes(F.col(heading))] if heading else [])
-    body = placed.select(passage_id, *carry, F.explode(found[0]).alias("lexeme"), F.lit(False).alias("top"))
-    if heading:
-        marked = F.concat(
-            F.transform(found[0], lambda w: F.struct(w.alias("lexeme"), F.lit(False).alias("top"))),
-            F.transform(found[1], lambda w: F.struct(w.alias("lexeme"), F.lit(True).alias("top"))),
-        )
-        body = placed.select(passage_id, *carry, F.inline(marked))
-    if only is not None:
-        body = body.join(only.select("lexeme").distinct(), "lexeme", "left_semi")
-    return body.groupBy(passage_id, *carry, "lexeme").agg(
-        F.count_if("top").alias("heading_hits"), F.count_if(~F.col("top")).alias("body_hits")
+    def marked(column: str, mark: str) -> Column:
+        return F.transform(lexemes(F.coalesce(F.col(column), F.lit(""))), lambda w: F.concat(F.lit(mark), w))
+
+    found = F.concat(marked(text, "b"), marked(heading, "h")) if heading else marked(text, "b")
+    if only is None:
+        # The outer form: for the plain one Spark adds a filter on the generator's input, which would count every row twice.
+        rows = passages.select(passage_id, *carry, F.inline_outer(runs(found)).alias("lexeme", "n")).where("lexeme is not null")
+    else:
+        wanted = only.select("lexeme").distinct()
+        wanted = wanted.select(F.explode(F.array(F.concat(F.lit("b"), "lexeme"), F.concat(F.lit("h"), "lexeme"))).alias("lexeme"))
+        rows = passages.select(passage_id, *carry, F.explode_outer(found).alias("lexeme"), F.lit(1).cast("long").alias("n"))
+        rows = rows.join(wanted, "lexeme", "left_semi")
+    return rows.select(
+        passage_id, *carry, F.expr("substring(lexeme, 2)").alias("lexeme"),
+        F.when(F.col("lexeme").startswith("h"), F.col("n")).otherwise(0).alias("heading_hits"),
+        F.when(F.col("lexeme").startswith("b"), F.col("n")).otherwise(0).alias("body_hits"),
     )
 
 
@@ -138,7 +142,7 @@ def keyword_topk(
     hits = index.join(terms, "lexeme")
     if scopes is not None:
         hits = hits.where(F.col("scope").isNull() | F.array_contains("scope", F.col("manual_id")))
-    # AQE turns this into a broadcast join when the terms are few; the index keeps its partitioning by passage.
+    # Sums are partial before the shuffle; AQE turns the join into a broadcast join when the terms are few.
     scored = hits.groupBy(passage_id, question_id).agg(
         F.sum("heading_hits").alias("h"), F.sum("body_hits").alias("b")
     ).select(question_id, passage_id, (F.col("h") * HEADING_WEIGHT + F.col("b") * BODY_WEIGHT).alias("score"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeline.functions.identifiers import words
+from citeline.functions.text import runs
 from citeline.operators.scans import top_per_group
 
 HASH_DIMENSIONS = 1024  # fixed value: width of the hashed vectors
@@ -49,13 +50,17 @@ def hash_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hash_embedding(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, buckets, counts) per text, sparse; texts without words get empty arrays (a zero vector)."""
-    found = texts.repartition(id_col).select(id_col, F.explode_outer(words(F.col(text_col))).alias("word"))
-    counted = found.groupBy(id_col, hash_bucket(F.col("word")).alias("bucket")).agg(F.count("word").alias("n"))
-    # collect_list skips the NULL that stands for "no words"; at most one entry per bucket remains.
-    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("n").cast("int").alias("n")))
-    packed = counted.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("__v"))
-    return packed.select(id_col, F.col("__v.bucket").alias("buckets"), F.col("__v.n").alias("counts"))
+    """(id, buckets, counts) per row, sparse; texts without words get empty arrays (a zero vector).
+
+    Buckets are counted inside the row, so no text is shuffled.
+    """
+    counted = runs(F.transform(words(F.col(text_col)), hash_bucket))
+    # Through a generator, so that the counts are computed once for both arrays; one struct a row comes out.
+    row = texts.select(id_col, F.explode(F.array(counted)).alias("__v"))
+    empty = F.array().cast("array<int>")
+    return row.select(
+        id_col, F.coalesce("__v.value", empty).alias("buckets"), F.coalesce(F.col("__v.n").cast("array<int>"), empty).alias("counts")
+    )
 
 
 def normalised(counts: DataFrame, id_col: str) -> DataFrame:

@@ -270,7 +270,7 @@ select label, coalesce(printf('%.1f%%', value * 100), 'n/a') as shown, n from l
 
 
 def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.nearest_rank(table(spark, sf, "events"), ["event_type"], "value", [50, 95], bucket_width=5.0)
+    return evaluate.nearest_rank(table(spark, sf, "events"), ["event_type"], "value", [50, 95])
 
 
 RANK_SQL = """with s as (select event_type, list(value order by value) as vs from events group by 1),

@@ -8,6 +8,8 @@ from citeline.functions.stopwords import STOP_WORDS
 from citeline.operators import search
 from citeline.operators.vectors import Lane, hash_counts, hash_embedding, normalised, vector_topk
 from citeline.plans.retrieve import retrieve
+from citeline.session import scratch_path, spread
+from citeline.sources.keyword_index import KeywordIndex, search_index, write_index
 from citeline.workload.common import CODE_SQL, code_of, table
 
 KEYWORD_DEPTH = 10
@@ -17,9 +19,15 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def titled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as passages with their language as heading; a table of few splits is dealt to all cores."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("lang").alias("heading"), "text")
+    return spread(docs)
+
+
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as passages: source = manual, toxic documents = fault entries, language = heading."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("fault").alias("kind"))
     return docs.join(toxic, "doc_id", "left").select(
         F.col("doc_id").alias("passage_id"), F.col("source").alias("manual_id"),
@@ -29,11 +37,32 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
     terms = search.query_terms(questions(spark, sf))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("lang").alias("heading"), "text")
+    docs = titled(spark, sf)
     found = search.keyword_topk(terms, search.postings(docs, only=terms), KEYWORD_DEPTH)
     return found.select("query_id", F.col("passage_id").alias("doc_id"), "score", "rank")
 
 
+def _documents_index(spark: SparkSession, sf: str) -> KeywordIndex:
+    docs = titled(spark, sf)
+    return write_index(docs, scratch_path(spark, "keyword-index"))
+
+
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Every lexeme of the written index with its passages, hits and greatest weights."""
+    index = _documents_index(spark, sf)
+    hits = index.postings().groupBy("lexeme").agg(
+        F.count_distinct("passage_id").alias("n_docs"), F.sum("heading_hits").alias("heading_hits"), F.sum("body_hits").alias("body_hits")
+    )
+    peaks = index.peaks().groupBy("lexeme").agg(F.max("heading_peak").alias("heading_peak"), F.max("body_peak").alias("body_peak"))
+    return hits.join(peaks, "lexeme")
+
+
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword search of every benchmark item through the written index."""
+    found = search_index(_documents_index(spark, sf), search.query_terms(questions(spark, sf)), KEYWORD_DEPTH)
+    return found.select("query_id", F.col("passage_id").alias("doc_id"), "score", "rank")
+
+
 STOPS_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 KEYWORD_CTES = f"""
 terms as (select distinct item_id as query_id, lexeme from
@@ -52,6 +81,11 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, doc_id, score, rank from ranked where rank <= {KEYWORD_DEPTH}"""
 
 
+INDEX_SQL = f"""with {KEYWORD_CTES}
+select lexeme, count(*) as n_docs, sum(h)::bigint as heading_hits, sum(b)::bigint as body_hits,
+  max(h)::bigint as heading_peak, max(b)::bigint as body_peak from posts where lexeme not in ({STOPS_SQL}) group by lexeme"""
+
+
 def vector_topk_query(spark: SparkSession, sf: str) -> DataFrame:
     vecs = table(spark, sf, "embeddings")
     asked = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -115,7 +149,7 @@ select id, bucket::int as bucket, round(n / norm, 9) as weight from buckets join
 
 def hash_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items against whole documents in the hashed space."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    docs = titled(spark, sf)
     asked = hash_embedding(questions(spark, sf), "query_id", "text")
     known = hash_embedding(docs, "passage_id", "text")
     found = vector_topk(asked, known, [Lane("vector", 10)])
@@ -140,7 +174,7 @@ select query_id, doc_id, round(s, 6) as score, rank from ranked where rank <= 10
 
 def _two_lanes(spark: SparkSession, sf: str) -> DataFrame:
     terms = search.query_terms(questions(spark, sf))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("lang").alias("heading"), "text")
+    docs = titled(spark, sf)
     keyword = search.keyword_topk(terms, search.postings(docs, only=terms), search.CANDIDATES)
     asked = hash_embedding(questions(spark, sf), "query_id", "text")
     vector = vector_topk(asked, hash_embedding(docs, "passage_id", "text"), [Lane("vector", search.CANDIDATES)])
@@ -171,7 +205,7 @@ select query_id, doc_id, round(fused, 9) as fused,
 def overlap_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Every keyword candidate rescored by word overlap with the whole passage."""
     asked = questions(spark, sf)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), F.col("lang").alias("heading"), "text")
+    docs = titled(spark, sf)
     terms = search.query_terms(asked)
     found = search.keyword_topk(terms, search.postings(docs, only=terms), search.CANDIDATES)
     pool = found.drop("score").join(asked.withColumnRenamed("text", "search_text"), "query_id")
@@ -280,6 +314,8 @@ from final where p <= greatest(8, pins)"""
 
 QUERIES = {
     "keyword_topk": (keyword_topk, KEYWORD_SQL),
+    "index_build": (index_build, INDEX_SQL),
+    "index_search": (index_search, KEYWORD_SQL),
     "vector_topk": (vector_topk_query, VECTOR_SQL),
     "vector_kind_topk": (vector_kind_topk, VECTOR_KIND_SQL),
     "hash_embed": (hash_embed, HASH_SQL),
