@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from citeline.llm.common import documents
+from citeline.llm.common import documents, fresh
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 TRIE_BYTES = 96 << 20  # bytes a task's trie holds before it moves a subtree to a file
@@ -229,18 +229,20 @@ def survivors(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: st
     equal in both, the one with most code points stays.
     """
 
+    sha, own, none, whole = (fresh(name, docs.columns) for name in ("_sha", "_id", "_none", "_row"))
+
     def sign(batches):
         for batch in batches:
             signs = pa.array([hashlib.sha256(b).digest() for b in normalised(batch.column(text))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, signs], names=[*batch.schema.names, "_sha"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, signs], names=[*batch.schema.names, sha])
 
-    by = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_id"), F.col(key).isNull().alias("_none"), "_sha"]
-    signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField("_sha", BinaryType())]))
+    by = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias(own), F.col(key).isNull().alias(none), sha]
+    signed = docs.mapInArrow(sign, StructType([*docs.schema.fields, StructField(sha, BinaryType())]))
     longest = F.struct(F.length(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(text))
     # repeated rows leave their task once, and the join keeps the partitions of the grouping
-    rows = signed.groupBy(*by).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), longest).alias("_row"))
-    kept = decided.where("kept").withColumn("_sha", F.unhex("text_sha256")).select(*by).distinct()
-    return rows.join(kept, ["_id", "_none", "_sha"], "left_semi").select("_row.*")
+    rows = signed.groupBy(*by).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), longest).alias(whole))
+    kept = decided.where("kept").withColumn(sha, F.unhex("text_sha256")).select(*by).distinct()
+    return rows.join(kept, [own, none, sha], "left_semi").select(f"{whole}.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

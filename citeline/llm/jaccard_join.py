@@ -6,7 +6,7 @@ texts link when 100 * intersection >= 75 * union. Shingles are compared by hash
 
 1. Tasks send every shingle to a shard of the hash space; a shard knows every list's length and returns to the documents
    only the shingles that at least two documents have. Documents with too few of those to reach any overlap are done.
-2. Equal sets are one class, held by its smallest identifier.
+2. Rows are numbered in the written table; rows of equal sets are one class, held by its smallest number.
 3. Of its shingles, shortest lists first, a document of n shingles needs only the first n - T + 1 (T: the least overlap with any
    partner) to meet each partner. Tasks reduce their part of such a list to its smallest member before it is shuffled, so
    a list is never gathered; documents of like size that meet form candidate blocks.
@@ -15,7 +15,7 @@ texts link when 100 * intersection >= 75 * union. Shingles are compared by hash
    looks for documents that are not linked yet, and every found one is searched from in turn, so a group of g copies costs
    about g searches of a shrinking index and no pairs. Blocks over ``BLOCK_DOCS`` are cut into slices, and every two slices are searched.
 
-Repeated rows of an identifier share one component. A null identifier links with nothing and has a null component.
+All rows of an identifier share one component, also where their texts differ: links of each of its texts are its links. A null identifier links with nothing and has a null component.
 Columns besides key and text are not looked at; an empty table gives an empty table.
 """
 from __future__ import annotations
@@ -264,22 +264,28 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row. ``key`` is an integer column."""
-    rows = settle(_shared_shingles(docs, key, column, words, percent), "shingles")
+    rows = settle(_shared_shingles(docs, key, column, words, percent).withColumn("row", F.monotonically_increasing_id()), "shingles")
     able = rows.where("keys is not null and id is not null")
-    members = able.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
-    copies = able.where("digest is not null").join(members, "digest").where("id <> class").select("id", "class")
-    classes = able.join(copies.select("id").distinct(), "id", "left_anti").dropDuplicates(["id"]).select("id", "n", "keys")
+    members = able.where("digest is not null").groupBy("digest").agg(F.min("row").alias("class"))
+    copies = able.where("digest is not null").join(members, "digest").where("row <> class").select("row", "class")
+    classes = able.join(copies.select("row"), "row", "left_anti").select(F.col("row").alias("id"), "n", "keys")
     near = components(_meetings(classes, percent))
     sizes = near.groupBy("component").count().withColumn("slices", F.ceil(F.col("count") / BLOCK_DOCS).cast("int"))
     near = near.join(sizes, "component").select("id", "component", "slices", F.expr("int(pmod(xxhash64(id), slices))").alias("slice"))
     cut = near.join(classes, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     blocks = cut.select(F.col("component").alias("block"), F.least("slice", "other").alias("left"), F.greatest("slice", "other").alias("right"), "id", "n", "keys")
     found = settle(_search(blocks, percent), "found")
-    linked = components(found)
     # every copy has the component of its class; a class without links is its own
-    of_copies = copies.join(linked.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("component", "class").alias("component"))
-    placed = linked.union(of_copies).groupBy("id").agg(F.min("component").alias("component"))
-    return rows.select("id", "n").join(placed, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    placed = rows.where("id is not null").select("row", "id", "n").join(copies, "row", "left")
+    placed = settle(placed.select("id", "n", F.coalesce("class", "row").alias("class")), "placed")
+    # the texts of one identifier belong together
+    several = placed.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b <> top").select("id", "b")
+    same = placed.join(several, "id").where("class <> b").select(F.col("class").alias("a"), "b")
+    linked = components(found.union(same)).withColumnRenamed("id", "class")
+    placed = placed.join(linked, "class", "left").select("id", "n", F.coalesce("component", "class").alias("component"))
+    first = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = placed.join(first, "component").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    return named.union(rows.where("id is null").select("id", "n", F.lit(None).cast("long")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

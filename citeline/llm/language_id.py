@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from citeline.llm import text
 from citeline.llm.common import documents, remainder
+from citeline.operators.scans import top_per_group
 
-HIDDEN, WINDOW, BATCH = 8, 128, 2048
-PER_LANGUAGE, WINDOWS, SPAN, STEPS = 200, 3, 48, 160  # bounds of the training sample; SPAN: bytes of a training window
-LANGUAGES = 64  # languages the network tells apart; the most frequent ones where there are more
+HIDDEN, WINDOW, BATCH = 8, 128, 2048  # HIDDEN: least units a side
+PER_LANGUAGE, WINDOWS, SPAN, STEPS = 200, 3, 48, 160  # training sample: rows of a language, windows of a row, bytes of a window; steps
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -40,46 +40,57 @@ class Network:
     out: np.ndarray  # (2H, C)
     bias: np.ndarray  # (C,)
 
+    @property
+    def hidden(self) -> int:
+        return self.recurrent.shape[1]
+
     def states(self, window: np.ndarray, side: int, mask: np.ndarray | None = None, keep: bool = False):
         """States (T, B, H) of one direction; with ``keep`` also what the way back needs."""
-        steps, rows = window.shape
-        h = np.zeros((rows, HIDDEN), np.float32)
-        out = np.zeros((steps, rows, HIDDEN), np.float32)
+        (steps, rows), hidden = window.shape, self.hidden
+        h = np.zeros((rows, hidden), np.float32)
+        out = np.zeros((steps, rows, hidden), np.float32)
         kept = []
         table, weights = self.table[side], self.recurrent[side]
         for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
             x, u = table[window[t]], h @ weights
-            gates = _sigmoid(x[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            candidate = np.tanh(x[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
+            gates = _sigmoid(x[:, :2 * hidden] + u[:, :2 * hidden])
+            z, r = gates[:, :hidden], gates[:, hidden:]
+            candidate = np.tanh(x[:, 2 * hidden:] + r * u[:, 2 * hidden:])
             after = h + z * (candidate - h)
             if mask is not None:
                 after *= mask[t][:, None]  # bytes beyond the end leave the state at zero, also for the way from the right
             if keep:
-                kept.append((t, h, z, r, candidate, u[:, 2 * HIDDEN:]))
+                kept.append((t, h, z, r, candidate, u[:, 2 * hidden:]))
             out[t] = h = after
         return out, kept
 
     def probabilities(self, window: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         """(B, C): probabilities of the languages, summed over the bytes of each window (T, B)."""
+        hidden = self.hidden
         ahead, _ = self.states(window, 0, mask)
         back, _ = self.states(window, 1, mask)
         total = np.zeros((window.shape[1], len(self.languages)), np.float32)
         for t in range(len(window)):
-            score = ahead[t] @ self.out[:HIDDEN] + back[t] @ self.out[HIDDEN:] + self.bias
+            score = ahead[t] @ self.out[:hidden] + back[t] @ self.out[hidden:] + self.bias
             np.exp(score - score.max(1, keepdims=True), out=score)
             score /= score.sum(1, keepdims=True)
             total += score if mask is None else score * mask[t][:, None]
         return total
 
 
+def units(languages: int) -> int:
+    """Units a side: more languages need more of them."""
+    return max(HIDDEN, -(-languages // 4))
+
+
 def fit(windows: np.ndarray, mask: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> Network:
     """Adam on the mean cross-entropy of all bytes; windows and mask are (N, T), labels are numbers of languages."""
     random = np.random.default_rng(seed)
     c = len(languages)
+    hidden = units(c)
     net = Network(
-        languages, random.normal(0, 0.3, (2, 256, 3 * HIDDEN)).astype(np.float32), random.normal(0, 0.3, (2, HIDDEN, 3 * HIDDEN)).astype(np.float32),
-        random.normal(0, 0.3, (2 * HIDDEN, c)).astype(np.float32), np.zeros(c, np.float32),
+        languages, random.normal(0, 0.3, (2, 256, 3 * hidden)).astype(np.float32), random.normal(0, 0.3, (2, hidden, 3 * hidden)).astype(np.float32),
+        random.normal(0, 0.3, (2 * hidden, c)).astype(np.float32), np.zeros(c, np.float32),
     )
     weights = [net.table, net.recurrent, net.out, net.bias]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -99,6 +110,7 @@ def fit(windows: np.ndarray, mask: np.ndarray, labels: np.ndarray, languages: li
 
 
 def _gradients(net: Network, window: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+    hidden = net.hidden
     both = [net.states(window, side, mask, keep=True) for side in (0, 1)]
     joined = np.concatenate([both[0][0], both[1][0]], 2)
     score = joined @ net.out + net.bias
@@ -110,9 +122,9 @@ def _gradients(net: Network, window: np.ndarray, mask: np.ndarray, labels: np.nd
     d_states = score @ net.out.T
     d_table, d_recurrent = np.zeros_like(net.table), np.zeros_like(net.recurrent)
     for side in (0, 1):
-        carry = np.zeros((window.shape[1], HIDDEN), np.float32)
+        carry = np.zeros((window.shape[1], hidden), np.float32)
         for t, h, z, r, candidate, u in reversed(both[side][1]):
-            d = (carry + d_states[t, :, side * HIDDEN:(side + 1) * HIDDEN]) * mask[t][:, None]
+            d = (carry + d_states[t, :, side * hidden:(side + 1) * hidden]) * mask[t][:, None]
             d_candidate = d * z * (1 - candidate**2)
             d_z, d_r = d * (candidate - h) * z * (1 - z), d_candidate * u * r * (1 - r)
             np.add.at(d_table[side], window[t], np.concatenate([d_z, d_r, d_candidate], 1))
@@ -148,20 +160,18 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, key: str = "doc_id", column: str = "text", lang: str = "lang") -> Network | None:
+    """The network of all languages that a row with letters is labelled with; None without such rows.
+
+    The sample is bounded in rows a language (``PER_LANGUAGE``, those of least hash, ties by their windows) and in bytes a row.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(column).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], int(1_000_000 * min(1.0, PER_LANGUAGE / r["count"])) + 1)))
-    length = F.length(F.col(column).cast("string"))
     spans = [F.expr(f"substring(cast(`{column}` AS string), 1 + int({k} * greatest(0, length(`{column}`) - {SPAN}) / {max(1, WINDOWS - 1)}), {SPAN})") for k in range(WINDOWS)]
-    sample = rows.where((length > 0) & (F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < F.element_at(share, F.col(lang))))
-    got = sample.select(lang, F.array(*spans).alias("spans")).limit(2 * PER_LANGUAGE * len(counts)).collect()
-    found = {r[lang] for r in got}
-    if len(found) < len(counts):  # a rare language that the hash passed by: its first rows
-        got += rows.where(~F.col(lang).isin(sorted(found)) & F.col(lang).isin([r[lang] for r in counts])).select(lang, F.array(*spans).alias("spans")).limit(PER_LANGUAGE).collect()
-    languages = sorted({r[lang] for r in got})
-    pieces = [(s.encode()[:SPAN], languages.index(r[lang])) for r in sorted(got, key=lambda r: (r[lang], r.spans)) for s in r.spans if s]
+    sample = rows.select(F.col(lang).alias("lang"), F.xxhash64(key, F.lit(3)).alias("place"), F.array(*spans).alias("spans"))
+    got = top_per_group(sample, ["lang"], [F.col("place"), F.col("spans")], PER_LANGUAGE).select("lang", "spans").collect()
+    if not got:
+        return None
+    languages = sorted({r.lang for r in got})
+    pieces = [(s.encode()[:SPAN], languages.index(r.lang)) for r in sorted(got, key=lambda r: (r.lang, r.spans)) for s in r.spans if s]
     windows, mask = np.zeros((len(pieces), SPAN), np.uint8), np.zeros((len(pieces), SPAN), bool)
     for i, (s, _) in enumerate(pieces):
         windows[i, :len(s)], mask[i, :len(s)] = np.frombuffer(s, np.uint8), True

@@ -351,6 +351,33 @@ def test_jaccard_join(corpus, block, monkeypatch):
     assert block == 3 or jaccard_join.join(empty(corpus)).count() == 0
 
 
+def test_jaccard_join_of_identifiers_with_several_texts(spark):
+    """All texts of an identifier share a component, whichever of them is a copy of another's."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, b), (12, c + " end"), (13, c), (13, a.upper() + " x"), (20, "alone"), (None, a)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 1), (5, 1), (5, 1), (9, 1), (9, 1), (12, 1), (13, 1), (13, 1), (20, 20)]
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == want
+    assert [r.component_id for r in got if r.doc_id is None] == [None] and len(got) == len(rows)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(n, f"{chr(0x4E00 + n % 80) * 20}", f"l{n % 80:02d}") for n in range(160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(frame)
+    assert net.languages == sorted({r[2] for r in rows}) and net.hidden == 20
+    texts = [(r[1] * k).encode() for r in rows[:9] for k in (1, 9)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for got, text in zip(language_id.pooled(net, raw, offsets), texts):  # window by window, byte by byte, without batches or masks
+        sums = np.zeros(80)
+        for a in range(0, len(text), language_id.WINDOW):
+            window = np.frombuffer(text[a:a + language_id.WINDOW], np.uint8)[:, None]
+            ahead, back = net.states(window, 0)[0][:, 0], net.states(window, 1)[0][:, 0]
+            scores = np.concatenate([ahead, back], 1) @ net.out + net.bias
+            sums += (np.exp(scores) / np.exp(scores).sum(1, keepdims=True)).sum(0)
+        assert np.allclose(got, sums / len(text), atol=1e-4)
+
+
 def test_jaccard_join_in_a_large_block(spark, monkeypatch):
     """Near copies of one text, chains beside them and documents that share only some shingles, cut into many slices."""
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 5)

@@ -1,5 +1,6 @@
 """The pipeline: every stage's decisions on planted rows, and the queries it is registered with."""
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citeline.llm.workload import registry
@@ -52,6 +53,23 @@ def test_rows_without_or_with_one_identifier_are_decided_by_their_text(spark, tm
     assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() == len(left)
 
 
+def test_extreme_identifiers_missing_ones_and_clashing_columns(spark, tmp_path):
+    plain = lambda seed, n=40: " ".join(f"v{(seed * 7919 + k * k * 31 + k) % 997}" for k in range(n))
+    top, extra = 2**63 - 1, ["_row", "_sha", "_id", "_none", "found_id", "found_text", "component"]
+    rows = [(top, plain(1)), (top, plain(2)), (-5, plain(2) + " more"), (None, plain(1) + " more"), (None, plain(3)), (None, plain(3) + " more"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in extra])
+    spark.createDataFrame([(1, plain(9))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.near(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    found = {(r.doc_id, r.text) for r in left.collect()}
+    one_of = [r for r in found if r[0] is None]
+    assert found - set(one_of) == {(top, plain(1)), (-5, plain(2) + " more"), (7, "")} and len(one_of) == 1 and one_of[0] in rows[4:6]
+    assert corpus_pipeline.exact(spark, docs, "").columns == docs.columns and corpus_pipeline.exact(spark, docs, "").count() == 7
+    assert corpus_pipeline.leaked(spark, docs, str(tmp_path)).count() == 7
+    none = docs.where("false")
+    assert corpus_pipeline.near(spark, none, "").isEmpty() and corpus_pipeline.exact(spark, none, "").isEmpty() and corpus_pipeline.packed(spark, none, "").isEmpty()
+
+
 def test_library_works_without_the_subpackage():
     entry = pytest.importorskip("__spark_entry__")
     assert "pipeline" in entry.queries() and "hybrid_retrieve" in entry.queries()
