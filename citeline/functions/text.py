@@ -30,6 +30,9 @@ SPELLED_LETTERS = {
 
 HEX = "0123456789ABCDEF"
 HOLE = "￿"  # a Unicode non-character: stands for a protected token until it is numbered
+# A word in which the text itself writes a marker, and the letters behind a span that its marker would run into.
+OWN_MARKER = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*{MARKER_PREFIX}[A-P][A-Za-z0-9]*"
+RUN_ON = r"(?:[A-P][A-Za-z0-9]*)?"
 
 
 def detect_script(text: Column, scripts=SCRIPTS, default: str = DEFAULT_SCRIPT) -> Column:
@@ -113,10 +116,13 @@ def _number_codes(state: Column, keys: Column | None) -> Column:
 def mask_spans(text: Column, code_keys: Column | None = None) -> Column:
     """struct(masked, kept): labels, page references, quantities, then codes become numbered markers.
 
+    Words that hold a marker of their own are protected with the labels, before the first marker is written; letters that a
+    marker would run into belong to its span. So every text is restored, whatever it contains.
+
     ``code_keys`` is an array of code keys that are protected in any case. Every step is linear in the text.
     """
     state = F.struct(text.alias("masked"), F.array().cast("array<string>").alias("kept"))
-    for pattern in (LABEL, PAGE_REFERENCE, QUANTITY, HOLE):  # a text's own U+FFFF is kept like a protected span
+    for pattern in (f"{LABEL}{RUN_ON}|{OWN_MARKER}", PAGE_REFERENCE + RUN_ON, QUANTITY + RUN_ON, HOLE + RUN_ON):  # a text's own U+FFFF is kept like a protected span
         state = _apply(state, _number_spans(pattern))
     return _apply(state, lambda s: _number_codes(s, code_keys))
 
