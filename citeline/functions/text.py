@@ -161,3 +161,25 @@ def runs(found: Column) -> Column:
         )), F.lit(0))
 
     return F.get(F.transform(F.array(F.sort_array(found)), lambda w: F.when(F.size(w) > 0, cut(w))), F.lit(0))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with ``digits`` decimals as C and Python print it: the exact binary value decides, exact ties go to the even digit.
+
+    Java's formatter rounds the shortest decimal spelling half up: 0.285, which lies below the tie, becomes 0.29 there. Split in
+    a high and a low half, the value times the scale is exact, so the sign of its distance from the tie is right.
+    """
+    scale = 10.0**digits
+    size = F.abs(value.cast("double"))
+    wide = size * 134217729.0
+    high = wide - (wide - size)
+    low = size - high
+    below = F.floor(size * scale)
+    over = (high * scale - (below + 0.5)) + low * scale
+    units = below + F.when((over > 0) | ((over == 0) & (below % 2 == 1)), 1).otherwise(0)
+    whole, rest = F.floor(units / scale), units % int(scale)
+    text = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0")
+    )
+    # Beyond that every double is a multiple of the last digit's half, or not a number.
+    return F.when(size * scale < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))

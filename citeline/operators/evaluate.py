@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import code_key, lookalike_key
+from citeline.functions.text import fixed
 from citeline.session import settle
 
 # Thresholds, metric labels, compared outcome fields, percentiles.
@@ -187,7 +188,7 @@ def nearest_rank(values: DataFrame, group: list[str], value: str, percents: list
 
 def percent_text(value: Column) -> Column:
     """"50.0%", or "n/a" for NULL."""
-    return F.when(value.isNull(), F.lit("n/a")).otherwise(F.format_string("%.1f%%", value * 100))
+    return F.when(value.isNull(), F.lit("n/a")).otherwise(F.concat(fixed(value * 100, 1), F.lit("%")))
 
 
 def scorecard_rows(summary: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ def compare_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
         b.select("metric", F.col("value").alias("vb")), "metric", "left"
     )
     delta = (F.col("vb") - F.col("va")) * 100
-    shown = F.when(delta.isNull(), F.lit("n/a")).otherwise(F.format_string("%+.1f pts", delta))
+    shown = F.when(delta.isNull(), F.lit("n/a")).otherwise(F.concat(F.when(delta < 0, F.lit("")).otherwise(F.lit("+")), fixed(delta, 1), F.lit(" pts")))
     return joined.select("ord", "label", percent_text(F.col("va")).alias("a"), percent_text(F.col("vb")).alias("b"), shown.alias("delta"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeline.functions.identifiers import (
     bare_code, bracket_labels, code_like_tokens, same_text_key, strip, without_labels,
 )
+from citeline.functions.text import fixed
 from citeline.operators.lexicon import code_spelling, label_spelling, token_spelling
 
 # Input limits, thresholds, generic terms, message texts.
@@ -104,9 +105,9 @@ def evidence_gate(questions: DataFrame, threshold: float = EVIDENCE_THRESHOLD) -
 
     ``questions``: query_id, has_code boolean, top_score.
     """
-    reason = F.format_string(
-        f"No fault code was recognised and the closest manual passage scored %.2f, below the evidence threshold of {threshold:.2f}.",
-        "top_score",
+    reason = F.concat(
+        F.lit("No fault code was recognised and the closest manual passage scored "), fixed(F.col("top_score"), 2),
+        F.lit(f", below the evidence threshold of {threshold:.2f}."),
     )
     return questions.withColumn("gate_reason", F.when(~F.col("has_code") & (F.col("top_score") < threshold), reason))
 
