@@ -60,14 +60,19 @@ def build_lexicon(lines: DataFrame, faults: DataFrame) -> DataFrame:
     return first_entries(everything, ["manual_id", "kind", "code_key"], ["o1", "o2", "o3", "o4", "o5"])
 
 
+def key_spelling(key: Column) -> Column:
+    """The key under which a code with this comparison key is known: equal for all its display look-alikes."""
+    return F.concat(F.lit("c:"), lookalike_key(key))
+
+
 def code_spelling(code: Column) -> Column:
-    """The key under which a code is known: equal for all its display look-alikes."""
-    return F.concat(F.lit("c:"), lookalike_key(code_key(code)))
+    """``key_spelling`` of a code as it is written."""
+    return key_spelling(code_key(code))
 
 
 def token_spelling(token: Column) -> Column:
     """``code_spelling`` of a token of running text."""
-    return F.concat(F.lit("c:"), lookalike_key(token_key(token)))
+    return key_spelling(token_key(token))
 
 
 def label_spelling(label: Column) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import (
-    bare_code, bracket_labels, code_like_tokens, same_text_key, strip, without_labels,
+    bare_code, bracket_labels, code_key, code_like_tokens, collapse_spaces, same_text_key, strip, without_labels,
 )
 from citeline.functions.text import fixed
-from citeline.operators.lexicon import code_spelling, label_spelling, token_spelling
+from citeline.operators.lexicon import key_spelling, label_spelling, token_spelling
 
 # Input limits, thresholds, generic terms, message texts.
 MAX_QUERY_CHARS = 2000
@@ -41,6 +41,13 @@ ANSWER = (
     " corrective_actions array<struct<action:string,requires_isolation:boolean,source_ids:array<string>>>,"
     " safety_warnings array<struct<text:string,source_ids:array<string>>>"
 )
+# The same answer with its texts as JSON values, which still show their types.
+TYPED = (
+    "status variant, insufficient_reason variant,"
+    " probable_causes array<struct<cause:variant,fault_code:variant,source_ids:array<variant>>>,"
+    " corrective_actions array<struct<action:variant,source_ids:array<variant>>>,"
+    " safety_warnings array<struct<text:variant,source_ids:array<variant>>>"
+)
 
 
 # --- reports (G1-G4) --------------------------------------------------------------------------------------------
@@ -205,7 +212,7 @@ def build_contexts(
 
 def parse_answers(raw: DataFrame, column: str = "answer_json") -> DataFrame:
     """Add ``answer`` (struct) and ``schema_ok``; malformed or incomplete JSON is a violation, not an error."""
-    parsed = raw.withColumn("answer", F.from_json(column, ANSWER))
+    parsed = raw.withColumns({"answer": F.from_json(column, ANSWER), "__typed": F.from_json(column, TYPED)})
     a = F.col("answer")
     whole = (
         a.isNotNull() & a["status"].isin("diagnosis", "insufficient_evidence") & a["insufficient_reason"].isNotNull()
@@ -214,111 +221,124 @@ def parse_answers(raw: DataFrame, column: str = "answer_json") -> DataFrame:
         & ~F.exists(a["corrective_actions"], lambda x: x["action"].isNull() | x["requires_isolation"].isNull() | x["source_ids"].isNull())
         & ~F.exists(a["safety_warnings"], lambda x: x["text"].isNull() | x["source_ids"].isNull())
     )
-    return parsed.withColumn("schema_ok", F.coalesce(whole & _texts_are_strings(F.col(column)), F.lit(False)))
+    ok = F.coalesce(whole & _texts_are_strings(F.col("__typed")), F.lit(False))
+    return parsed.withColumn("schema_ok", ok).drop("__typed")
 
 
-def _texts_are_strings(json: Column) -> Column:
-    """The text fields hold JSON strings and the id lists only strings; a parsed struct no longer shows it."""
-    whole = F.try_parse_json(json)
-    is_text = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+def _texts_are_strings(typed: Column) -> Column:
+    """The text fields hold JSON strings and the id lists only strings; a parsed struct of strings no longer shows it."""
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
     def items(field: str, *texts: str) -> Column:
         def right(x: Column) -> Column:
-            ids = F.try_variant_get(x, "$.source_ids", "array<variant>")
-            ok = F.forall(ids, lambda i: F.coalesce(F.schema_of_variant(i) == "STRING", F.lit(False)))
+            ok = F.forall(x["source_ids"], is_text)
             for name in texts:
-                ok = ok & is_text(x, f"$.{name}")
+                ok = ok & is_text(x[name])
             return F.coalesce(ok, F.lit(False))
 
-        return F.forall(F.try_variant_get(whole, f"$.{field}", "array<variant>"), right)
+        return F.forall(typed[field], right)
 
     return (
-        is_text(whole, "$.status") & is_text(whole, "$.insufficient_reason") & items("probable_causes", "cause", "fault_code")
+        is_text(typed["status"]) & is_text(typed["insufficient_reason"]) & items("probable_causes", "cause", "fault_code")
         & items("corrective_actions", "action") & items("safety_warnings", "text")
     )
 
 
-def answer_items(answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Answers as long rows: (keys, section 1-3, n, label, text, fault_code, source_ids)."""
+LABELS = {1: "cause", 2: "step", 3: "safety warning"}
+
+
+def answer_items(answer: Column) -> Column:
+    """The items of an answer as one array of (section 1-3, n, text, fault_code, source_ids)."""
     none = F.lit(None).cast("string")
 
-    def part(section: int, field: str, text: str, label: str, code: Column) -> DataFrame:
-        rows = answers.select(*keys, F.posexplode(F.col(f"answer.{field}")).alias("i", "x"))
-        return rows.select(
-            *keys, F.lit(section).alias("section"), (F.col("i") + 1).alias("n"),
-            F.format_string(f"{label} %d", F.col("i") + 1).alias("label"), F.col(f"x.{text}").alias("text"),
-            code.alias("fault_code"), F.col("x.source_ids").alias("source_ids"),
-        )
+    def part(section: int, field: str, text: str, code) -> Column:
+        return F.transform(answer[field], lambda x, i: F.struct(
+            F.lit(section).alias("section"), (i + 1).alias("n"), x[text].alias("text"), code(x).alias("fault_code"),
+            x["source_ids"].alias("source_ids"),
+        ))
 
-    return (
-        part(1, "probable_causes", "cause", "cause", F.col("x.fault_code"))
-        .unionByName(part(2, "corrective_actions", "action", "step", none))
-        .unionByName(part(3, "safety_warnings", "text", "safety warning", none))
+    return F.concat(
+        part(1, "probable_causes", "cause", lambda x: x["fault_code"]), part(2, "corrective_actions", "action", lambda x: none),
+        part(3, "safety_warnings", "text", lambda x: none),
     )
 
 
-def uncited(items: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Citation violations: (keys, section, n, at, note)."""
-    bare = items.where(F.size("source_ids") == 0).select(
-        *keys, "section", "n", F.lit(0).alias("at"), F.concat("label", F.lit(": no citation")).alias("note")
-    )
-    cited = items.select(*keys, "section", "n", "label", F.posexplode("source_ids").alias("at", "source_id"))
-    unknown = cited.join(sources.select("query_id", "source_id"), ["query_id", "source_id"], "left_anti").select(
-        *keys, "section", "n", "at", F.concat("label", F.lit(": unknown source id "), "source_id").alias("note")
-    )
-    return bare.unionByName(unknown)
+def item_label(section: Column, n: Column) -> Column:
+    label = F.lit(LABELS[3])
+    for number in (1, 2):
+        label = F.when(section == number, LABELS[number]).otherwise(label)
+    return F.concat(label, F.lit(" "), n.cast("string"))
 
 
-def text_mentions(texts: DataFrame, item: list[str], text: str = "text") -> DataFrame:
-    """Bracketed labels and code-shaped tokens of each text: (item, at, identifier, spellings).
+def text_mentions(text: Column) -> Column:
+    """Bracketed labels and code-shaped tokens of a text: an array of (at, identifier, spellings).
 
     Labels come before tokens and are masked before tokens are taken. Source ids and generic terms are not
     identifiers; a trailing lowercase "s" may be a plural, so the word without it is a spelling too.
     """
-    labels = texts.select(*item, F.posexplode(bracket_labels(F.col(text))).alias("at", "lab")).select(
-        *item, "at", F.concat(F.lit("["), "lab", F.lit("]")).alias("identifier"),
-        F.array(label_spelling(F.col("lab"))).alias("spellings"),
-    )
-    tokens = texts.select(*item, F.posexplode(code_like_tokens(without_labels(F.col(text)))).alias("at", "identifier"))
-    plural = (F.length("identifier") > 2) & F.col("identifier").endswith("s")
-    forms = F.when(plural, F.array("identifier", F.expr("left(identifier, length(identifier) - 1)"))).otherwise(F.array("identifier"))
-    tokens = tokens.where(~F.col("identifier").rlike(SOURCE_ID)).withColumn("forms", forms)
-    tokens = tokens.where(~F.exists("forms", lambda f: F.upper(f).isin(*GENERIC_TERMS))).select(
-        *item, (F.col("at") + F.lit(1 << 32)).alias("at"), "identifier", F.transform("forms", token_spelling).alias("spellings")
-    )
-    return labels.unionByName(tokens)
+    none = F.array().cast("array<struct<at:bigint,identifier:string,spellings:array<string>>>")
+    labels = F.transform(bracket_labels(text), lambda lab, i: F.struct(
+        i.cast("long").alias("at"), F.concat(F.lit("["), lab, F.lit("]")).alias("identifier"), F.array(label_spelling(lab)).alias("spellings")
+    ))
+
+    def forms(token: Column) -> Column:
+        plural = (F.length(token) > 2) & token.endswith("s")
+        return F.when(plural, F.array(token, F.left(token, F.length(token) - 1))).otherwise(F.array(token))
+
+    placed = F.transform(code_like_tokens(without_labels(text)), lambda token, i: F.struct(
+        (i + F.lit(1 << 32)).alias("at"), token.alias("identifier"), forms(token).alias("forms")
+    ))
+    kept = F.filter(placed, lambda t: ~t["identifier"].rlike(SOURCE_ID) & ~F.exists(t["forms"], lambda f: F.upper(f).isin(*GENERIC_TERMS)))
+    tokens = F.transform(kept, lambda t: F.struct(
+        t["at"].alias("at"), t["identifier"].alias("identifier"), F.transform(t["forms"], token_spelling).alias("spellings")
+    ))
+    # Neither a label nor a code is in a text without a bracket or a capital.
+    return F.when(text.rlike(r"[A-Z\[]"), F.concat(F.when(text.contains("["), labels).otherwise(none), tokens)).otherwise(none)
 
 
-def field_mentions(causes: DataFrame, item: list[str], field: str = "fault_code") -> DataFrame:
+def field_mentions(field: Column) -> Column:
     """The code field "[Name] CODE": each name and the code, as for texts."""
-    filled = causes.where(F.col(field) != "")
-    names = F.transform(bracket_labels(F.col(field)), lambda lab: F.struct(
+    names = F.transform(bracket_labels(field), lambda lab: F.struct(
         F.concat(F.lit("["), lab, F.lit("]")).alias("identifier"), F.array(label_spelling(lab)).alias("spellings")
     ))
-    bare = bare_code(F.col(field))
-    code = F.when(bare != "", F.array(F.struct(bare.alias("identifier"), F.array(code_spelling(bare)).alias("spellings"))))
-    found = F.concat(names, F.coalesce(code, F.slice(names, 1, 0)))
-    return filled.select(*item, F.posexplode(found).alias("at", "m")).select(*item, "at", "m.identifier", "m.spellings")
+    # Each value is bound by a lambda, so it is computed once.
+    bare = F.filter(F.transform(F.array(F.when(field.contains("["), bare_code(field)).otherwise(collapse_spaces(field))), lambda b: F.struct(
+        b.alias("identifier"), code_key(b).alias("key")
+    )), lambda c: c["identifier"] != "")
+    code = F.transform(bare, lambda c: F.struct(c["identifier"].alias("identifier"), F.array(key_spelling(c["key"])).alias("spellings")))
+    found = F.concat(F.when(field.contains("["), names).otherwise(F.slice(names, 1, 0)), code)
+    return F.transform(found, lambda m, i: F.struct(
+        i.cast("long").alias("at"), m["identifier"].alias("identifier"), m["spellings"].alias("spellings")
+    ))
 
 
-def unknown_mentions(mentions: DataFrame, scopes: DataFrame, known: DataFrame, item: list[str]) -> DataFrame:
-    """Mentions none of whose spellings any manual in the question's scope knows: (item, at, identifier).
+def unknown_mentions(mentions: DataFrame, known: DataFrame, item: list[str]) -> DataFrame:
+    """Mentions none of whose spellings any manual in scope knows: (item, at, identifier).
 
-    ``item`` holds query_id; scopes: (query_id, manual_id); known: (manual_id, spelling).
+    ``mentions``: item, at, identifier, spellings, manuals (the scope, an array, may be NULL); known: (manual_id,
+    spelling). A spelling meets its manuals as one row, so a mention is not repeated for every manual in scope.
     """
-    spelled = mentions.select(*item, "at", "identifier", F.explode("spellings").alias("spelling"))
-    looked = spelled.join(scopes, "query_id", "left").join(
-        known.withColumn("__known", F.lit(True)), ["manual_id", "spelling"], "left"
+    holders = known.groupBy("spelling").agg(F.collect_set("manual_id").alias("holders"))
+    spelled = mentions.select(
+        *item, "at", "identifier", "manuals", F.size("spellings").alias("__forms"), F.explode("spellings").alias("spelling")
     )
-    judged = looked.groupBy(*item, "at", "identifier").agg(F.bool_or("__known").alias("__known"))
-    return judged.where("__known is null").drop("__known")
+    hit = F.coalesce(F.arrays_overlap("manuals", "holders"), F.lit(False))
+    looked = spelled.join(holders, "spelling", "left").select(*item, "at", "identifier", "__forms", hit.alias("__hit"))
+    # A mention of one spelling is settled here; only those with several go on as rows that know each other.
+    judged = looked.where(~F.col("__hit") | (F.col("__forms") > 1)).groupBy(*item, "at", "identifier").agg(F.bool_or("__hit").alias("__hit"))
+    return judged.where(~F.col("__hit")).drop("__hit")
 
 
 def unknown_identifiers(
     texts: DataFrame, scopes: DataFrame, known: DataFrame, item: list[str], text: str = "text"
 ) -> DataFrame:
-    """Identifiers of the texts that no manual in scope knows, each once per item, at its first place."""
-    found = unknown_mentions(text_mentions(texts, item, text), scopes, known, item)
+    """Identifiers of the texts that no manual in scope knows, each once per item, at its first place.
+
+    ``item`` holds query_id; scopes: (query_id, manual_id); known: (manual_id, spelling).
+    """
+    manuals = scopes.groupBy("query_id").agg(F.collect_set("manual_id").alias("manuals"))
+    rows = texts.join(manuals, "query_id", "left").select(*item, "manuals", F.explode(text_mentions(F.col(text))).alias("m"))
+    found = unknown_mentions(rows.select(*item, "manuals", "m.*"), known, item)
     return found.groupBy(*item, "identifier").agg(F.min("at").alias("at"))
 
 
@@ -329,61 +349,97 @@ def repeated_causes(causes: DataFrame, keys: list[str], text: str = "text", n: s
     return keyed.join(firsts, [*keys, "__same"]).where(F.col(n) != F.col("first")).select(*keys, n, "first")
 
 
-def isolation_violations(answers: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Answers whose steps need isolation while no warning cites a safety source."""
-    safety = sources.where("kind = 'safety'").groupBy("query_id").agg(F.collect_set("source_id").alias("safe"))
-    needs = F.exists("answer.corrective_actions", lambda s: s["requires_isolation"])
-    joined = answers.where(needs).join(safety, "query_id", "left")
-    safe = F.coalesce("safe", F.array().cast("array<string>"))
-    warned = F.exists("answer.safety_warnings", lambda w: F.arrays_overlap(w["source_ids"], safe))
-    return joined.where(~F.coalesce(warned, F.lit(False))).select(*keys)
-
-
 def audit_answers(
-    answers: DataFrame, sources: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("query_id", "attempt")
+    answers: DataFrame, sources: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("query_id", "attempt"), carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(keys, violations): the ordered violation list of every parsed answer, empty when clean.
+    """(keys, carried columns, violations): the ordered violation list of every parsed answer, empty when clean.
 
     An answer may use the identifiers of the manuals among its sources. Answers that decline are not checked.
+    An answer and its sources meet in one row, as both are cells of a prompt; citations, repeats and isolation are
+    checked there. Only mentions leave the row, for the join with the known spellings.
     """
-    keys = list(keys)
-    broken = answers.where(~F.col("schema_ok"))
-    active = answers.where(F.col("schema_ok") & (F.col("answer.status") != "insufficient_evidence"))
-    items = answer_items(active, keys)
-    item = [*keys, "section", "n", "label", "step"]
-    scopes = sources.select("query_id", "manual_id").distinct()
-
-    def rows(frame: DataFrame, step: Column, note: Column) -> DataFrame:
-        return frame.select(*keys, "section", "n", step.alias("step"), F.col("at").cast("long").alias("at"), note.alias("note"))
+    keys, carry = list(keys), list(carry)
+    rest = [k for k in keys if k != "query_id"]
+    one = F.struct("source_id", "manual_id", (F.col("kind") == "safety").alias("safe"))
+    cells = sources.groupBy("query_id").agg(F.collect_list(one).alias("s")).select(
+        "query_id", F.transform("s", lambda s: s["source_id"]).alias("__ids"),
+        F.transform(F.filter("s", lambda s: s["safe"]), lambda s: s["source_id"]).alias("__safe"),
+        F.array_compact(F.array_distinct(F.transform("s", lambda s: s["manual_id"]))).alias("manuals"),
+    )
+    active = F.col("schema_ok") & (F.col("answer.status") != "insufficient_evidence")
+    met = answers.select(*{k: None for k in [*keys, *carry, "schema_ok", "answer"]}).join(cells, "query_id", "left").withColumn(
+        "__items", F.when(active, answer_items(F.col("answer")))
+    )
+
+    def place(section, n, step, at, note) -> Column:
+        number = lambda v, kind: (v if isinstance(v, Column) else F.lit(v)).cast(kind)
+        return F.struct(
+            number(section, "int").alias("section"), number(n, "int").alias("n"), number(step, "int").alias("step"),
+            number(at, "long").alias("at"), (note if isinstance(note, Column) else F.lit(note)).alias("note"),
+        )
 
-    causes = items.where("section = 1")
-    mentions = text_mentions(items.withColumn("step", F.lit(2)), item).unionByName(
-        field_mentions(causes.withColumn("step", F.lit(3)), item)
+    # Mentions: a text reports an identifier once; a code field reports all it holds.
+    mention = met.select(*keys, "manuals", F.explode("__items").alias("i")).select(
+        *keys, "manuals", "i.section", "i.n", F.col("i.text").alias("text"), F.col("i.fault_code").alias("code")
+    )
+    stepped = lambda found, step: F.transform(found, lambda m: F.struct(F.lit(step).alias("step"), m["at"].alias("at"), m["identifier"].alias("identifier"), m["spellings"].alias("spellings")))
+    listed = F.concat(
+        stepped(text_mentions(F.col("text")), 2), stepped(field_mentions(F.coalesce("code", F.lit(""))), 3),
     )
-    # A text reports an identifier once; a code field reports all it holds.
+    item = [*keys, "section", "n", "step"]
+    mention = mention.select(*keys, "manuals", "section", "n", F.explode(listed).alias("m")).select(*keys, "manuals", "section", "n", "m.*")
     once = F.when(F.col("step") == 3, F.col("at"))
-    unknown = unknown_mentions(mentions, scopes, known, item).groupBy(*item, "identifier", once.alias("__once")).agg(
-        F.min("at").alias("at")
-    )
-    says = F.concat("label", F.lit(": unknown identifier "), "identifier")
-    repeats = repeated_causes(causes, keys).withColumns({"section": F.lit(1), "at": F.lit(0)})
-    whole = lambda frame, section, note: frame.select(
-        *keys, F.lit(section).alias("section"), F.lit(0).alias("n"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("at"), F.lit(note).alias("note")
-    )
-    found = (
-        whole(active.where(F.size("answer.probable_causes") == 0), 0, NO_CAUSES)
-        .unionByName(rows(uncited(items, sources, keys), F.lit(1), F.col("note")))
-        .unionByName(rows(unknown, F.col("step"), says))
-        .unionByName(rows(repeats, F.lit(4), F.format_string("cause %d repeats cause %d: list each cause once", "n", "first")))
-        .unionByName(whole(isolation_violations(active, sources, keys), 9, NO_ISOLATION))
-        .unionByName(whole(broken, 0, SCHEMA_VIOLATION))
-    )
-    place = F.struct("section", "n", "step", "at", "note")
-    listed = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["note"]).alias("violations"))
-    return answers.select(*keys).join(listed, keys, "left").withColumn(
-        "violations", F.coalesce("violations", F.array().cast("array<string>"))
+    unknown = unknown_mentions(mention, known, item).groupBy(*item, "identifier", once.alias("__once")).agg(F.min("at").alias("at"))
+    says = F.concat(item_label(F.col("section"), F.col("n")), F.lit(": unknown identifier "), "identifier")
+    unknown = unknown.groupBy("query_id").agg(
+        F.collect_list(F.struct(*rest, place(F.col("section"), F.col("n"), F.col("step"), F.col("at"), says).alias("place"))).alias("__unknown")
     )
 
+    # The rest is found in the row.
+    a = F.col("answer")
+    ids = F.coalesce("__ids", F.array().cast("array<string>"))
+    checked = met.withColumns({
+        "__missing": F.array_except(F.flatten(F.transform("__items", lambda i: i["source_ids"])), ids),
+        "__same": F.when(active, F.transform(a["probable_causes"], lambda c: same_text_key(c["cause"]))),
+    })
+
+    def uncited(i: Column) -> Column:
+        label = item_label(i["section"], i["n"])
+        placed = F.transform(i["source_ids"], lambda s, at: F.struct(at.alias("at"), s.alias("id")))
+        absent = F.filter(placed, lambda s: F.array_contains(F.col("__missing"), s["id"]))
+        return F.when(F.size(i["source_ids"]) == 0, F.array(place(i["section"], i["n"], 1, 0, F.concat(label, F.lit(": no citation"))))).otherwise(
+            F.transform(absent, lambda s: place(i["section"], i["n"], 1, s["at"], F.concat(label, F.lit(": unknown source id "), s["id"])))
+        )
+
+    firsts = F.transform("__same", lambda k, i: F.struct((i + 1).alias("n"), F.array_position("__same", k).alias("first")))
+    repeats = F.when(F.size(F.array_distinct("__same")) < F.size("__same"), F.transform(
+        F.filter(firsts, lambda r: r["n"] != r["first"]),
+        lambda r: place(1, r["n"], 4, 0, F.format_string("cause %d repeats cause %d: list each cause once", r["n"], r["first"])),
+    ))
+    isolated = F.exists(a["corrective_actions"], lambda s: s["requires_isolation"])
+    warned = F.exists(a["safety_warnings"], lambda w: F.arrays_overlap(w["source_ids"], F.coalesce("__safe", F.array().cast("array<string>"))))
+    wrong = F.transform(
+        F.filter("__unknown", lambda u: F.lit(True) if not rest else _all_of([u[k].eqNullSafe(F.col(k)) for k in rest])), lambda u: u["place"]
+    )
+    found = [
+        F.when(active & (F.size(a["probable_causes"]) == 0), F.array(place(0, 0, 0, 0, NO_CAUSES))),
+        F.flatten(F.transform("__items", uncited)), wrong, repeats,
+        F.when(active & isolated & ~F.coalesce(warned, F.lit(False)), F.array(place(9, 0, 0, 0, NO_ISOLATION))),
+        F.when(~F.col("schema_ok"), F.array(place(0, 0, 0, 0, SCHEMA_VIOLATION))),
+    ]
+    nothing = F.array().cast("array<struct<section:int,n:int,step:int,at:bigint,note:string>>")
+    ordered = F.array_sort(F.concat(*[F.coalesce(f, nothing) for f in found]))
+    return checked.join(unknown, "query_id", "left").select(
+        *keys, *[c for c in carry if c not in keys], F.transform(ordered, lambda p: p["note"]).alias("violations")
+    )
+
+
+def _all_of(conditions: list[Column]) -> Column:
+    whole = conditions[0]
+    for more in conditions[1:]:
+        whole = whole & more
+    return whole
+
 
 # --- decisions (G14-G16) ----------------------------------------------------------------------------------------
 

@@ -78,9 +78,7 @@ def judge(prepared: Prepared, answers: DataFrame, known: DataFrame, last: bool =
     if this is the ``last`` call."""
     asked = answers.join(prepared.state.where("gate_reason is null"), "query_id", "left_semi")
     parsed = settle(triage.parse_answers(asked), "parsed")
-    audited = triage.audit_answers(parsed, prepared.sources, known).join(
-        parsed.select("query_id", "attempt", "answer"), ["query_id", "attempt"]
-    )
+    audited = triage.audit_answers(parsed, prepared.sources, known, carry=("answer",))
     decided = settle(triage.decide(audited), "decided")
     answered = triage.assemble_answers(decided, prepared.state, prepared.sources)
     retry = decided.where("repair is not null").select("query_id", (F.col("attempt") + 1).alias("attempt"), "repair")

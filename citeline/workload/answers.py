@@ -1,7 +1,7 @@
 """Registered queries: contexts, answer audits, masking, translation and evaluation."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeline.functions.text import detect_script
@@ -55,12 +55,14 @@ select query_id, length(context) as chars, md5(context) as digest from c"""
 
 
 def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line of every order, numbered within its order, as line numbers repeat."""
+    """(query_id, lines): every order with all its lines in order, as line numbers repeat; an answer is one cell."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
-    return table(spark, sf, "lineitem").join(part, "l_partkey").select(
-        F.col("l_orderkey").alias("query_id"), F.row_number().over(order).alias("line"), F.col("l_partkey").alias("part"),
-        "p_name", "p_brand", F.col("l_returnflag").alias("flag"),
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag", "p_name", "p_brand")
+    return table(spark, sf, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("query_id")).agg(
+        F.transform(F.array_sort(F.collect_list(line)), lambda x, i: F.struct(
+            (i + 1).alias("line"), x["l_partkey"].alias("part"), x["p_name"].alias("p_name"), x["p_brand"].alias("p_brand"),
+            x["l_returnflag"].alias("flag"),
+        )).alias("lines")
     )
 
 
@@ -70,31 +72,27 @@ def judge_answers(spark: SparkSession, sf: str) -> DataFrame:
     The first lists every line as a cause, the second only lines without flag A. Sources are the lines without flag
     A; a cause cites its line and names its part's code.
     """
-    lines = settle(_order_lines(spark, sf), "lines")
-    cause = F.struct(
-        F.col("p_name").alias("cause"), F.lit(0.5).alias("confidence"), code_of(F.col("part")).alias("fault_code"),
-        F.array(F.concat(F.lit("S"), F.col("line"))).alias("source_ids"),
-    )
-    drafts = lines.withColumn("attempt", F.lit(1)).unionByName(lines.where("flag <> 'A'").withColumn("attempt", F.lit(2)))
-    listed = drafts.groupBy("query_id", "attempt").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line", cause.alias("c")))), lambda x: x["c"]).alias("causes")
-    )
-    every = lines.select("query_id").distinct().select("query_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    orders = settle(_order_lines(spark, sf), "lines")
+    clear = F.filter("lines", lambda x: x["flag"] != "A")
+    drafts = orders.select("query_id", F.posexplode(F.array("lines", clear)).alias("attempt", "lines"))
+    causes = F.transform("lines", lambda x: F.struct(
+        x["p_name"].alias("cause"), F.lit(0.5).alias("confidence"), code_of(x["part"]).alias("fault_code"),
+        F.array(F.concat(F.lit("S"), x["line"].cast("string"))).alias("source_ids"),
+    ))
     body = F.struct(
-        F.lit("diagnosis").alias("status"), F.lit("").alias("insufficient_reason"),
-        F.coalesce("causes", F.expr("slice(causes, 1, 0)"), F.array().cast("array<struct<cause:string,confidence:double,fault_code:string,source_ids:array<string>>>")).alias("probable_causes"),
+        F.lit("diagnosis").alias("status"), F.lit("").alias("insufficient_reason"), causes.alias("probable_causes"),
         F.array().cast("array<struct<action:string,requires_isolation:boolean,source_ids:array<string>>>").alias("corrective_actions"),
         F.array().cast("array<struct<text:string,source_ids:array<string>>>").alias("safety_warnings"),
     )
-    raw = every.join(listed, ["query_id", "attempt"], "left").select("query_id", "attempt", F.to_json(body).alias("answer_json"))
-    answers = settle(triage.parse_answers(raw), "answers")
-    sources = settle(lines.where("flag <> 'A'").select(
-        "query_id", F.concat(F.lit("S"), "line").alias("source_id"), F.col("p_brand").alias("manual_id"), F.lit("section").alias("kind")
-    ), "sources")
+    raw = drafts.select("query_id", (F.col("attempt") + 1).alias("attempt"), F.to_json(body).alias("answer_json"))
+    answers = settle(triage.parse_answers(raw).drop("answer_json"), "answers")
+    sources = orders.select("query_id", F.explode(clear).alias("x")).select(
+        "query_id", F.concat(F.lit("S"), F.col("x.line").cast("string")).alias("source_id"), F.col("x.p_brand").alias("manual_id"),
+        F.lit("section").alias("kind"),
+    )
     entries = part_codes(spark, sf).select("manual_id", F.lit("fault").alias("kind"), "code_key")
     known = lexicon.known_identifiers(entries)
-    audited = triage.audit_answers(answers, sources, known).join(answers.select("query_id", "attempt", "answer"), ["query_id", "attempt"])
-    decided = triage.decide(audited)
+    decided = triage.decide(triage.audit_answers(answers, sources, known, carry=("answer",)))
     return decided.select(
         "query_id", "attempt", "reason", F.array_join("first_pass_violations", " | ").alias("first_pass"),
         F.size("answer.probable_causes").alias("causes"),
