@@ -21,6 +21,11 @@ CODE_TOKEN = (
     r"[A-Za-z0-9]++(?:[.\-][A-Za-z0-9]++)*+"
 )
 
+# Texts in which a candidate may be more or less than one run of letters and digits, and the candidates of all other texts.
+SPELLED = r"[A-Za-z0-9][.\-][A-Za-z0-9]|(?<![A-Za-z0-9])[A-Za-z]{2,4}[^A-Za-z0-9]++[0-9]{1,2}(?![A-Za-z0-9])"
+PLAIN_CANDIDATE = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{3,6}+(?![A-Za-z0-9])"
+CANDIDATE_LENGTHS = (3, 6)
+
 SPACE = r"[\s\x1c-\x1f]"  # used under (?U): Java's Unicode white space plus the four ASCII separators
 
 
@@ -36,7 +41,9 @@ def collapse_spaces(text: Column) -> Column:
 def code_key(code: Column) -> Column:
     """Comparison key of a code: no footnotes, no white space, no trailing dashes (unless nothing else), upper."""
     compact = F.regexp_replace(F.regexp_replace(code, r"(?U)\(\d+\)", ""), rf"(?U){SPACE}+", "")
-    return F.upper(F.regexp_replace(compact, r"^(.*[A-Za-z0-9].*?)[-–—]+$", "$1"))
+    full = F.upper(F.regexp_replace(compact, r"^(.*[A-Za-z0-9].*?)[-–—]+$", "$1"))
+    # Letters, digits and dots alone have nothing to remove.
+    return F.when(code.rlike(r"^[A-Za-z0-9.]+\z"), F.upper(code)).otherwise(full)
 
 
 def lookalike_key(key: Column) -> Column:
@@ -101,7 +108,15 @@ def same_text_key(text: Column) -> Column:
 
 
 def query_code_candidates(text: Column) -> Column:
-    """Ordered distinct strings of a question that may be typed codes (3-6 characters, a letter among them)."""
+    """Ordered distinct strings of a question that may be typed codes (3-6 characters, a letter among them).
+
+    Most texts have no joined token and no letters followed by a short number; their candidates are cut out by one pattern.
+    """
+    plain = F.array_distinct(F.regexp_extract_all(text, F.lit(PLAIN_CANDIDATE), F.lit(0)))
+    return F.when(text.rlike(SPELLED), _spelled_candidates(text)).otherwise(plain)
+
+
+def _spelled_candidates(text: Column) -> Column:
     toks = tokens(text)
     none = F.array().cast("array<string>")
 
@@ -114,7 +129,7 @@ def query_code_candidates(text: Column) -> Column:
 
     following = F.slice(toks, F.lit(2), F.size(toks))
     found = F.array_distinct(F.flatten(F.zip_with(toks, following, spellings)))
-    return F.filter(found, lambda c: F.length(c).between(3, 6) & c.rlike("[A-Za-z]"))
+    return F.filter(found, lambda c: F.length(c).between(*CANDIDATE_LENGTHS) & c.rlike("[A-Za-z]"))
 
 
 def reads_like_display(token: Column) -> Column:

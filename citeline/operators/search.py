@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.identifiers import (
-    lookalike_key, query_code_candidates, reads_like_display, token_key, words,
+    CANDIDATE_LENGTHS, lookalike_key, query_code_candidates, reads_like_display, token_key, words,
 )
 from citeline.functions.stopwords import STOP_WORDS
 from citeline.functions.text import runs
@@ -31,7 +31,10 @@ WORD = r"[\p{L}\p{N}]+"
 
 def code_index(fault_codes: DataFrame) -> DataFrame:
     """The fault table keyed for detection: ``code_key`` plus its look-alike key."""
-    return fault_codes.withColumn("fold", lookalike_key(F.col("code_key")))
+    # Both keys pass a generator, so that no later filter works them out again.
+    key = fault_codes.select("*", F.explode_outer(F.array("code_key")).alias("__key"))
+    fold = key.select("*", F.explode_outer(F.array(lookalike_key(F.col("__key")))).alias("fold"))
+    return fold.withColumn("code_key", F.col("__key")).drop("__key")
 
 
 def detect_codes(
@@ -41,37 +44,51 @@ def detect_codes(
 
     Exact matches come first per token; look-alikes count only for tokens that read like a display and only in
     manuals the same token does not match exactly; each passage is reported once, at its first match. Questions may
-    carry ``scope`` (array of manual ids; NULL = all). One equi-join on the look-alike key serves both kinds.
+    carry ``scope`` (array of manual ids; NULL = all).
+    """
+    # One shuffle by question serves the two groupings below.
+    hits = code_hits(questions, index, text, question_id).repartition(question_id)
+    place = [
+        F.col("tok_pos"), F.col("fuzzy"), F.when(F.col("fuzzy"), F.col("code_key")), F.col("manual_id"), F.col("code_key"),
+    ]
+    kept = [c for c in index.columns if c not in ("fold", "chunk_id")]
+    first = hits.withColumn("__nth", F.row_number().over(Window.partitionBy(question_id, "chunk_id").orderBy(*place)))
+    order = Window.partitionBy(question_id).orderBy(*place)
+    return first.where("__nth = 1").select(
+        question_id, F.row_number().over(order).alias("ord"), "token", "fuzzy", "chunk_id", *kept
+    )
+
+
+def code_hits(questions: DataFrame, index: DataFrame, text: str = "text", question_id: str = "query_id") -> DataFrame:
+    """The matches of ``detect_codes`` without order, a passage once for every token and code that leads to it.
+
+    Result: (query, tok_pos, token, fuzzy, *index columns). One equi-join on the look-alike key serves exact matches and look-alikes.
+    Tokens that no code of the index begins like are dropped where they are cut, before any shuffle.
     """
     has_scope = "scope" in questions.columns
+    carried = [question_id, *(["scope"] if has_scope else [])]
+
+    def keyed(token: Column) -> Column:
+        return F.struct(token.alias("token"), token_key(token).alias("tok_key"), lookalike_key(token_key(token)).alias("fold"))
+
+    # Keys leave the generator as columns; as expressions they would be worked out again in every filter and join.
     tokens = questions.select(
-        question_id, *(["scope"] if has_scope else []),
-        F.posexplode(query_code_candidates(F.col(text))).alias("tok_pos", "token"),
-    )
-    key = token_key(F.col("token"))
-    tokens = tokens.withColumns({"tok_key": key, "fold": lookalike_key(key)})
+        *carried, F.posexplode(F.transform(query_code_candidates(F.col(text)), keyed)).alias("tok_pos", "__t")
+    ).select(*carried, "tok_pos", "__t.*")
+    # A token is as long as its look-alikes, so other entries are never asked for.
+    index = index.where(F.length("fold").between(*CANDIDATE_LENGTHS))
+    beginning = (F.length("fold").alias("__length"), F.substring("fold", 1, 2).alias("__start"))
+    # At most 38 * 38 starts of the characters of a token, at four lengths.
+    known = index.select(*beginning).where(F.col("__start").rlike(r"^[A-Z0-9.\-]{2}$")).distinct()
+    tokens = tokens.select("*", *beginning).join(F.broadcast(known), ["__length", "__start"], "left_semi").drop("__length", "__start")
+    # The keys of a manual that look the same, at most 64, tell in the row whether the token has an exact match there.
+    alike = Window.partitionBy("fold", "manual_id")
+    index = index.withColumn("__keys", F.collect_set("code_key").over(alike))
     hits = tokens.join(index, "fold").withColumn("fuzzy", F.col("tok_key") != F.col("code_key"))
-    hits = hits.where(~F.col("fuzzy") | reads_like_display(F.col("token")))
+    hits = hits.where(~F.col("fuzzy") | (reads_like_display(F.col("token")) & ~F.array_contains("__keys", F.col("tok_key"))))
     if has_scope:
         hits = hits.where(F.col("scope").isNull() | F.array_contains("scope", F.col("manual_id")))
-    # One shuffle by question serves the three groupings below.
-    hits = hits.repartition(question_id)
-    # A token has at most 64 spellings per manual, so this group is small by construction.
-    same_token = Window.partitionBy(question_id, "tok_pos", "manual_id")
-    hits = hits.withColumn("exact_here", F.min("fuzzy").over(same_token) == F.lit(False))
-    hits = hits.where(~F.col("fuzzy") | ~F.col("exact_here"))
-    place = F.struct(
-        F.col("tok_pos"), F.col("fuzzy"), F.when(F.col("fuzzy"), F.col("code_key")).alias("variant"),
-        F.col("manual_id"), F.col("code_key"),
-    )
-    kept = [c for c in index.columns if c not in ("fold", "chunk_id")]
-    record = F.struct(place.alias("place"), "token", "fuzzy", *kept)
-    first = hits.groupBy(question_id, "chunk_id").agg(F.min_by(record, place).alias("m"))
-    order = Window.partitionBy(question_id).orderBy("m.place")
-    return first.select(
-        question_id, F.row_number().over(order).alias("ord"), "m.token", "m.fuzzy", "chunk_id",
-        *[F.col(f"m.{c}").alias(c) for c in kept],
-    )
+    return hits.drop("__keys", "fold", "tok_key", *(["scope"] if has_scope else []))
 
 
 def append_matches(first: DataFrame, more: DataFrame, question_id: str = "query_id") -> DataFrame:
