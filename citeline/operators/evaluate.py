@@ -58,10 +58,17 @@ def code_match(expected: DataFrame, detected: DataFrame, questions: DataFrame) -
 
     expected and detected: query_id, code.
     """
-    fold = lookalike_key(code_key(F.col("code")))
-    seen = detected.select("query_id", fold.alias("fold")).distinct().withColumn("seen", F.lit(True))
-    wanted = expected.select("query_id", fold.alias("fold")).join(seen, ["query_id", "fold"], "left")
-    verdict = wanted.groupBy("query_id").agg(F.bool_and(F.col("seen").isNotNull()).alias("matched"))
+    rows = expected.select("query_id", "code", F.lit(False).alias("seen")).unionByName(
+        detected.select("query_id", "code", F.lit(True).alias("seen"))
+    )
+    # The key passes a generator, so that the look-alike key works it out once.
+    rows = rows.select("query_id", "seen", F.explode_outer(F.array(code_key(F.col("code")))).alias("key"))
+    rows = rows.select("query_id", "seen", lookalike_key(F.col("key")).alias("fold"))
+    # Grouped before the shuffle, as look-alikes of a code share one key; a code without key is never seen.
+    codes = rows.groupBy("query_id", "fold").agg(
+        F.bool_or(~F.col("seen")).alias("wanted"), (F.bool_or("seen") & F.col("fold").isNotNull()).alias("seen")
+    )
+    verdict = codes.where("wanted").groupBy("query_id").agg(F.bool_and("seen").alias("matched"))
     return questions.select("query_id").join(verdict, "query_id", "left")
 
 
