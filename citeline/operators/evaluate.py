@@ -254,9 +254,11 @@ def draft_targets(seeds: DataFrame, faults: DataFrame) -> tuple[DataFrame, DataF
     (target position, manual).
     """
     targets = seeds.select("id", F.posexplode("targets").alias("t", "target")).select(
-        "id", "t", F.col("target.manual").alias("wanted"), code_key(F.col("target.code")).alias("want_key"),
-        F.col("target.code").alias("want_code"),
-    ).withColumn("fold", lookalike_key(F.col("want_key")))
+        "id", "t", F.col("target.manual").alias("wanted"), F.col("target.code").alias("want_code"),
+        F.explode_outer(F.array(code_key(F.col("target.code")))).alias("want_key"),  # worked out once a row
+    )
+    # Dealt before the join: what a task sorts is then a share of the shuffle, not all targets of a file's split.
+    targets = targets.repartition("id", "t").withColumn("fold", lookalike_key(F.col("want_key")))
     index = faults.withColumn("fold", lookalike_key(F.col("code_key")))
     hits = targets.join(index, "fold").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("manual_id")))
     place = F.struct(F.col("code_key") != F.col("want_key"), "code_key")
