@@ -251,7 +251,10 @@ def draft_targets(seeds: DataFrame, faults: DataFrame) -> tuple[DataFrame, DataF
 
     seeds: id, targets array<struct<manual,code>>; a target without manual expands to every manual holding the
     code. Per manual the exact key wins, then the first look-alike by key. Result rows are ordered by
-    (target position, manual).
+    (target position, manual). Seeds are unique by id; a repeated one adds nothing.
+
+    A target meets the records of a manual that look alike as one row and takes its own there, so the hits, several times the
+    targets, stream to the result and no task sorts them.
     """
     targets = seeds.select("id", F.posexplode("targets").alias("t", "target")).select(
         "id", "t", F.col("target.manual").alias("wanted"), F.col("target.code").alias("want_code"),
@@ -259,12 +262,17 @@ def draft_targets(seeds: DataFrame, faults: DataFrame) -> tuple[DataFrame, DataF
     )
     # Dealt before the join: what a task sorts is then a share of the shuffle, not all targets of a file's split.
     targets = targets.repartition("id", "t").withColumn("fold", lookalike_key(F.col("want_key")))
-    index = faults.withColumn("fold", lookalike_key(F.col("code_key")))
-    hits = targets.join(index, "fold").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("manual_id")))
-    place = F.struct(F.col("code_key") != F.col("want_key"), "code_key")
-    record = F.struct("code", "code_key", "causes", "page", "page_end")
-    best = hits.groupBy("id", "t", "wanted", "manual_id").agg(F.min_by(record, place).alias("r")).select(
-        "id", "t", "manual_id", "r.*"
+    once = targets.dropDuplicates(["id", "t", "wanted", "want_key"]).select("id", "t", "wanted", "want_key", "fold")
+    # Dealt by the key of the join, so that the records of a look-alike key, at most 64 a manual, are grouped where they are joined.
+    keyed = faults.select("manual_id", F.struct("code_key", "code", "causes", "page", "page_end").alias("r"))
+    keyed = keyed.withColumn("fold", lookalike_key(F.col("r.code_key"))).repartition("fold")
+    index = keyed.groupBy("fold", "manual_id", "r.code_key").agg(F.min("r").alias("r"))
+    index = index.groupBy("fold", "manual_id").agg(F.collect_list("r").alias("records"))
+    # Sorts can spill; a broadcast table is held whole, and the size of a file says little of the rows'.
+    hits = once.join(index.hint("merge"), "fold").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("manual_id")))
+    placed = F.transform("records", lambda r: F.struct((r["code_key"] != F.col("want_key")).alias("other"), r["code_key"].alias("key"), r.alias("r")))
+    best = hits.select("id", "t", "manual_id", F.array_min(placed)["r"].alias("r")).select(
+        "id", "t", "manual_id", "r.code", "r.code_key", "r.causes", "r.page", "r.page_end"
     )
     lost = targets.where("wanted is not null").join(best.select("id", "t"), ["id", "t"], "left_anti").select(
         "id", F.concat("id", F.lit(": code "), "want_code", F.lit(" not found in "), "wanted").alias("problem")
