@@ -289,6 +289,23 @@ def test_decontamination_of_repeated_passages(spark):
     assert sorted((r.doc_id, r.contaminated, round(r.similarity, 9)) for r in found) == want
 
 
+def test_decontamination_broadcasts_in_proportion_to_the_items_and_holds_one_block(spark, monkeypatch):
+    item = lambda seed, n: [f"v{(seed * 7919 + k * k * 31 + k) % 99991}" for k in range(n)]
+    long, items = item(0, 1500), {i: item(i, 20) for i in range(1, 31)}
+    docs = [(i, ["a", "b"] * i + items[i] + ["c"] * 9) for i in range(1, 20)] + [(50, items[3] + items[4]), (51, long[:1400] + item(77, 300)), (52, ["e"] * 40)]
+    want = {i: [i] for i in range(1, 20)} | {50: [3, 4], 51: [99], 52: []}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in [*items.items(), (99, long)]], "item_id long, text string")
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: broadcast(sent.append(df) or df))
+    assert {r.doc_id: r["items"] for r in decontamination.find(frame, benchmark).collect()} == want
+    assert sent and max(df.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] for df in sent) < 1_500_000  # the texts have 12,000 bytes
+    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 700)
+    several = decontamination.find(frame, benchmark)
+    assert len(sent) > 6 and several._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    assert {r.doc_id: r["items"] for r in several.collect()} == want
+
+
 def test_trie_moves_subtrees():
     rnd = random.Random(2)
     trie, want = exact_dedup.Trie(limit=3000), {}
