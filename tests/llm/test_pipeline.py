@@ -73,3 +73,13 @@ def test_extreme_identifiers_missing_ones_and_clashing_columns(spark, tmp_path):
 def test_library_works_without_the_subpackage():
     entry = pytest.importorskip("__spark_entry__")
     assert "pipeline" in entry.queries() and "hybrid_retrieve" in entry.queries()
+
+
+def test_contaminated_documents_go_with_one_block_of_the_benchmark_held_at_a_time(spark, tmp_path, monkeypatch):
+    plain = lambda seed, n=40: " ".join(f"v{(seed * 7919 + k * k * 31 + k) % 99991}" for k in range(n))
+    rows = [(i, plain(i) + (" " + plain(900 + i, 30) if i % 3 == 0 else "")) for i in range(12)] + [(None, plain(50)), (None, plain(51) + " " + plain(901, 30))]
+    spark.createDataFrame([(i, plain(900 + i, 30)) for i in range(12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(corpus_pipeline.decontamination, "BLOCK_SHINGLES", 120)
+    left = corpus_pipeline.leaked(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert left._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    assert {tuple(r) for r in left.collect()} == {r for r in rows if len(r[1].split()) == 40}
